@@ -67,3 +67,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = now
     # at rest the edges are stars: (node, least of its component)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a Parquet table in the shared checkpoint folder (compressed, unlike a checkpoint)."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
