@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a published vocabulary file.
 
 A text is normalised and cut into pieces as the file says (NFC, white space, lower case; runs of
-letters, single digits, runs of other signs), and each piece is encoded by merging its byte symbols
-in rank order.  White-space-free words repeat, so their ids are remembered in a bounded table.
+letters, single digits, runs of other signs).  The merges of a short piece are left to the
+library's model; white-space-free words repeat, so their ids are remembered in a bounded table.
 
 Long unsplit pieces go through *tree concatenation*: the halves are encoded on their own, then a
 growing window around the join is encoded anew until its first token equals the token it replaces
@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import partitions
 
@@ -49,6 +50,21 @@ def _byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class _Words(dict):
+    """word -> (ids, tokens), each joined by one space; unseen words are encoded, long ones not kept."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        out = self.encode(word)
+        if len(word) < 64:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Vocabulary:
     """Ranks, ids and tokens of one vocabulary file of the ``tokenizers`` format."""
 
@@ -70,7 +86,9 @@ class Vocabulary:
         self.inner = [self.ids[s] for s in signs]
         self.last = [self.ids[s + self.end] for s in signs]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[str, str, int]] = {}
+        self.signs = {b: c for b, c in enumerate(signs) if chr(b) != c}
+        self.model = Tokenizer.from_file(path).model
+        self.words = _Words(self.word)
 
     # -- pieces ---------------------------------------------------------------------------------
     def symbols(self, piece: str) -> list[int]:
@@ -154,15 +172,16 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each letter on its own: no final sigma
         return text.lower()
 
-    def word(self, word: str) -> tuple[str, str, int]:
-        """(ids, tokens, count) of text without white space, ids and tokens joined by one space."""
-        ids = [i for p in _PIECE.findall(word) for i in self.encode_symbols(self.symbols(p))]
-        out = " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids)
-        if len(word) < 64:
-            if len(self.words) >= REMEMBER:
-                self.words.clear()
-            self.words[word] = out
-        return out
+    def piece(self, piece: str) -> list[int]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        if len(raw) > LEAF:
+            return self.encode_symbols(self.symbols(piece))
+        return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.signs))]
+
+    def word(self, word: str) -> tuple[str, str]:
+        """(ids, tokens) of text without white space, each joined by one space."""
+        ids = [i for p in _PIECE.findall(word) for i in self.piece(p)]
+        return " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
 
     def sections(self, text: str):
         """(text, id of the special token after it or None), as special tokens are cut out first."""
@@ -172,16 +191,17 @@ class Vocabulary:
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """(ids, tokens, count) of a whole text."""
-        found: list[tuple[str, str, int]] = []
+        found: list[tuple[str, str]] = []
         for part, special in self.sections(text):
             part = self.normal(part)
-            known, word = self.words, self.word
-            pieces = part.split() if not _ODD.search(part) else regex.split(r"\s+", part)
-            found += [known.get(w) or word(w) for w in pieces]
+            pieces = part.split() if not _ODD.search(part) else filter(None, regex.split(r"\s+", part))
+            found += map(self.words.__getitem__, pieces)
             if special is not None:
-                found.append((str(special), self.tokens[special], 1))
-        found = [f for f in found if f[2]]
-        return " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
+                found.append((str(special), self.tokens[special]))
+        if not found:
+            return "", "", 0
+        ids, tokens = map(" ".join, zip(*found))
+        return ids, tokens, ids.count(" ") + 1
 
     def decode(self, ids) -> str:
         """The library's decode() without a decoder: tokens joined by one space; unknown ids are left out."""
