@@ -28,6 +28,8 @@ TREES = 8
 LEAVES = 64
 #: Leaves that a query meets, of TREES * LEAVES.  Measured recall at 20: README.
 PROBES = 128
+#: Vectors of a leaf, at least, while there is more than one leaf.
+LEAST = 32
 #: Leaves of one cell, and most vectors or queries of one block.
 CELL = 8
 BLOCK = 16_384
@@ -111,6 +113,11 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, trees: int = TREES, l
     members = F.array_sort(F.collect_set("vec_id"))
     classes = written(ranked.groupBy("e").agg(members.alias("ids")).select(F.col("ids")[0].alias("cid"), "e", "ids"))
     n, top = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    # small tables have fewer leaves (LEAST vectors each) and the same share of them is met
+    fine = leaves
+    while leaves > 1 and n < LEAST * leaves:
+        leaves //= 2
+    probes = max(trees, probes * leaves // fine)
     picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("e").toArrow()
     forest = spark.sparkContext.broadcast(Forest(_matrix(pa.chunked_array(picked["e"]).combine_chunks(), dim), top, trees, leaves))
     # queries of equal vectors are searched once

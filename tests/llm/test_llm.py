@@ -269,7 +269,7 @@ def _brute(rows, width=100):
 def test_suffix_dedup(spark, hot, monkeypatch, table):
     if hot:
         monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 30)
-        monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**9)
+        monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**8)
     rng = random.Random(4)
     line = "".join(rng.choice("abcdefgh ") for _ in range(260))
     rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 40))) + line[: rng.randint(60, 260)] + str(i)) for i in range(100, 180)]
