@@ -23,6 +23,8 @@ from .common import written
 #: A subtree is a template from this many pages and this share of the host's pages on.
 MIN_PAGES = 3
 MIN_SHARE = 0.3
+#: Numbers in a table of templates that is sent to all tasks, at most (8 bytes each, and host names).
+BROADCAST = 1 << 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
@@ -192,10 +194,13 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     seen = written(base.mapInArrow(parsed, f"page_id {page_kind}, url string, host string, blocks array<struct<text:string,trees:array<long>>>, trees array<long>"))
     # one pass: the number of pages of a host is the count of a marker that every page has
     counts = seen.select("host", F.explode(F.array_append(F.col("trees"), F.lit(None).cast("long"))).alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
-    many = F.when((F.col("n") >= min_pages) & F.col("tree").isNotNull(), F.struct("tree", "n"))
-    counts = counts.groupBy("host").agg(F.max(F.when(F.col("tree").isNull(), F.col("n"))).alias("pages"), F.collect_list(many).alias("trees"))
+    pages_of = counts.where("tree IS NULL").select("host", F.col("n").alias("pages"))
+    often = counts.where((F.col("n") >= min_pages) & F.col("tree").isNotNull()).join(pages_of, "host").where(F.col("n") >= F.col("pages") * min_share)
     # each page has a bounded number of subtrees, so those on a fixed share of a host's pages are boundedly many
-    site = counts.select("host", F.transform(F.filter("trees", lambda t: t["n"] >= F.col("pages") * min_share), lambda t: t["tree"]).alias("templates"))
+    site = written(often.groupBy("host").agg(F.collect_list("tree").alias("templates")))
+    # a small table goes to all tasks and the texts stay where they are; a larger one is met by host
+    small = (site.agg(F.sum(F.size("templates") + 8)).first()[0] or 0) <= BROADCAST
+    site = F.broadcast(site) if small else site
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["trees"], F.col("templates")), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return seen.join(site, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
