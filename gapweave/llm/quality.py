@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     limit = 2.0**63 * min(1.0, 1.2 * sample / max(1, marks.count())) * 2 - 2.0**63
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    rows = rows.join(marks, "doc_id").select("text", "quality", F.xxhash64("doc_id").alias("h"))
+    # the same join at every size: the labels grow with the corpus, so a broadcast of them would not last
+    rows = rows.join(marks.hint("merge"), "doc_id").select("text", "quality", F.xxhash64("doc_id").alias("h"))
 
     def run(batches):
         mark, counts, n = np.zeros(DIMENSIONS, bool), np.zeros((2, DIMENSIONS + 1), np.int64), 0
