@@ -5,7 +5,9 @@ place clockwise from its own position.  A shard takes the rows of its arcs up to
 beyond it continue clockwise to the next place whose shard has room.  Only rows above a capacity
 move, so movement is the least that the bound allows.  The walk is planned over arcs (a count for
 each place on the ring: a fixed number of rows, whatever the input) and carried out by a rank within
-the arc.  Everything that touches rows is DataFrame code.
+the arc.  Ranks are taken within pieces of an arc and the pieces' counts added up, so that an arc is
+ranked by many tasks; a piece far above its share (one key with very many rows) is dealt to SALTS parts.
+Everything that touches rows is DataFrame code.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from .common import written
 
 VIRTUAL_NODES = 64
 _CELL_BITS = 14
+#: The ring has 2^16 pieces of equal length; a piece that holds this many times its share is dealt out.
+_PIECE_BITS = 16
+HOT_TIMES = 8
+HOT_LEAST = 1 << 16
+SALTS = 16
 
 
 def _ring(spark: SparkSession, shards: int, virtual_nodes: int) -> DataFrame:
@@ -81,7 +88,8 @@ def assign(rows: DataFrame, keys: list[str], shards: int, virtual_nodes: int = V
     """The columns of ``rows`` with shard (0..) and slot (gapless from 0 in each shard).
 
     A row's position is a hash of the key columns (nulls are values like others); rows that are equal in
-    all of them are interchangeable.  An empty table gives an empty table.
+    all of them are interchangeable.  Columns named shard or slot give way to the new ones; other columns
+    may have any name.  An empty table gives an empty table.
     """
     spark = rows.sparkSession
     ring = _ring(spark, shards, virtual_nodes)
@@ -90,17 +98,32 @@ def assign(rows: DataFrame, keys: list[str], shards: int, virtual_nodes: int = V
     cells = F.broadcast(_cells(spark, ring))  # 2^14 rows
     # null-safe position: hash() skips nulls, so each key also says whether it is null
     parts = [x for k in keys for x in (F.col(k), F.col(k).isNull())]
-    placed = rows.withColumn("_at", F.shiftrightunsigned(F.xxhash64(*parts), 1)).withColumn("cell", F.shiftright("_at", 63 - _CELL_BITS))
-    placed = placed.join(cells, "cell").withColumn("_place", ((F.col("before") + F.size(F.filter("ats", lambda x: x < F.col("_at")))) % places).cast("int"))
-    placed = written(placed.select(*rows.columns, "_at", "_place"))
-    counts = {r["_place"]: r["n"] for r in placed.groupBy("_place").agg(F.count("*").alias("n")).collect()}  # at most ``places`` rows
-    segments = plan(counts, owner, shards, slack)
+    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.shiftrightunsigned(F.xxhash64(*parts), 1).alias("at"))
+    placed = placed.withColumn("cell", F.shiftright("at", 63 - _CELL_BITS)).join(cells, "cell")
+    place = ((F.col("before") + F.size(F.filter("ats", lambda x: x < F.col("at")))) % places).cast("int")
+    piece = F.shiftright("at", 63 - _PIECE_BITS).cast("int")
+    placed = written(placed.select("row", "at", place.alias("place"), piece.alias("piece"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")))
+    sizes = written(placed.groupBy("place", "piece", "salt").agg(F.count("*").alias("n")))  # at most (2^16 + places) * SALTS rows
+    counts = {r["place"]: r["n"] for r in sizes.groupBy("place").agg(F.sum("n").alias("n")).collect()}  # at most ``places`` rows
+    hot = sizes.groupBy("place", "piece").agg(F.sum("n").alias("n")).where(F.col("n") > max(HOT_LEAST, HOT_TIMES * sum(counts.values()) >> _PIECE_BITS))
+    hot = F.broadcast(written(hot.select("place", "piece", F.lit(True).alias("hot"))))  # under 2^16 / HOT_TIMES rows
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(hot, ["place", "piece"], "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0)).drop("hot")
+
+    in_order = Window.partitionBy("place").orderBy("piece", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt(sizes).groupBy("place", "piece", "salt").agg(F.sum("n").alias("n"))
+    first = first.select("place", "piece", "salt", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy("place", "piece", "salt").orderBy("at", *[F.col("row")[k] for k in keys])).cast("long") - 1
+    ranked = dealt(placed).withColumn("own", own).join(F.broadcast(first), ["place", "piece", "salt"]).select("row", "place", (F.col("first") + F.col("own")).alias("rank"))
     kind = "array<struct<place:int,lo:bigint,hi:bigint,shard:int,slot:bigint>>"
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(segments)), kind)).alias("s")).select("s.*")
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_place").orderBy("_at", *keys)).cast("long") - 1)
-    hit = (F.col("_place") == F.col("place")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))
+    segments = plan(counts, owner, shards, slack)
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(segments)), kind)).alias("s"))
+    hit = (F.col("place") == F.col("s.place")) & (F.col("rank") >= F.col("s.lo")) & (F.col("rank") < F.col("s.hi"))
     # at most two segments for each place and one for each shard that fills up
-    return ranked.join(F.broadcast(table), hit).select(*rows.columns, "shard", (F.col("slot") + F.col("_rank") - F.col("lo")).alias("slot"))
+    out = ranked.join(F.broadcast(table), hit)
+    keep = [F.col("row")[c].alias(c) for c in rows.columns if c.lower() not in ("shard", "slot")]
+    return out.select(*keep, F.col("s.shard").alias("shard"), (F.col("s.slot") + F.col("rank") - F.col("s.lo")).alias("slot"))
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

@@ -232,13 +232,22 @@ def test_html(spark):
 
 
 # -- 8 ----------------------------------------------------------------------------------------------
-def test_sharding(spark):
+def test_sharding(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "a") for i in range(1003)] + [(7, "a")] * 3 + [(None, "b")], "doc_id long, shard_note string")
     out = sharding.assign(rows, ["doc_id"], 40).toPandas()
     sizes = out.groupby("shard").size()
     assert len(out) == 1007 and len(sizes) == 40 and sizes.max() - sizes.min() <= 1
     assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
     assert sharding.assign(rows.limit(0), ["doc_id"], 40).count() == 0
+    # a key with most rows is dealt out; columns of any name pass through, shard and slot give way
+    monkeypatch.setattr(sharding, "HOT_LEAST", 20)
+    odd = "doc_id long, cell string, at string, place string, piece string, salt string, row string, n string, rank string, hot string, first string, own string, s string, before string, slot string, SHARD string"
+    many = spark.createDataFrame([(5 if i < 300 else i, *"abcdefghijklmno") for i in range(900)], odd)
+    out = sharding.assign(many, ["doc_id", "slot"], 7).toPandas()
+    sizes = out.groupby("shard").size()
+    assert len(out) == 900 and sizes.max() - sizes.min() <= 1 and set(out["own"]) == {"k"} and list(out.columns) == [*many.columns[:-2], "shard", "slot"]
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+    assert sorted(out["doc_id"]) == [5] * 300 + list(range(300, 900))
     # only rows above a shard's capacity leave their own shard
     owner, counts = [i % 5 for i in range(50)], {i: i * i % 17 for i in range(50)}
     plan = sharding.plan(counts, owner, 5)
