@@ -79,36 +79,41 @@ def template(width: int, shape: str = "circle") -> np.ndarray:
 
 
 def hide_shapes(cells: DataFrame, amount: float, shape: str, width: int, seed: int = 0) -> DataFrame:
-    """(fold, t, v): gaps of one shape placed greedily on free observed cells, one fold in a task.
+    """(fold, t, v): gaps of one shape placed greedily on free observed cells, in a seeded order of the cells.
 
     A candidate (its top left cell and date) is placed if the whole shape is observed, inside the fold and not
-    yet hidden.  Raises if candidates run out before the share is reached.
+    yet hidden.  Shapes on different dates never touch, so each date is a task of its own; of all placements of
+    a fold the first ones in order are kept, until the share is reached.  Fails if candidates run out before.
     """
     stamp = np.argwhere(template(width, shape))
+    target = _target(cells, amount)
+    order = F.pmod(F.xxhash64(F.lit(seed), "fold", "t", "v"), F.lit(2147483647))
+    marked = cells.select("fold", "t", "x", "y", "v", "observed", order.alias("o")).join(target, "fold")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = int(pdf["fold"].iloc[0])
-        x, y, t = (pdf[c].to_numpy() for c in ("x", "y", "t"))
-        free = np.zeros((t.max() + 1, x.max() + width + 1, y.max() + width + 1), bool)
-        free[t, x, y] = pdf["observed"].to_numpy()
+        pdf = pdf.sort_values(["o", "v"])
+        x, y, v, o = (pdf[c].to_numpy() for c in ("x", "y", "v", "o"))
+        free = np.zeros((x.max() + width + 1, y.max() + width + 1), bool)
+        free[x, y] = pdf["observed"].to_numpy()
         ids = np.zeros(free.shape, np.int64)
-        ids[t, x, y] = pdf["v"].to_numpy()
-        target = int(free.sum() * amount)
-        picked = []
-        hidden = 0
-        for i in np.random.default_rng([seed, fold]).permutation(len(pdf)):
-            if hidden >= target:
+        ids[x, y] = v
+        target, hidden, picked = int(pdf["target"].iloc[0]), 0, []
+        for i in range(len(pdf)):
+            if hidden >= target:  # no later placement of this date can be among the first
                 break
             a, b = x[i] + stamp[:, 0], y[i] + stamp[:, 1]
-            if free[t[i], a, b].all():
-                free[t[i], a, b] = False
+            if free[a, b].all():
+                free[a, b] = False
                 hidden += len(stamp)
-                picked.append(pd.DataFrame({"fold": fold, "t": t[i], "v": ids[t[i], a, b]}))
-        if hidden < target:
-            raise RuntimeError(f"fold {fold}: no room for more {shape} gaps of width {width}")
-        return pd.concat(picked) if picked else pd.DataFrame({"fold": [], "t": [], "v": []})
-
-    return cells.select("fold", "t", "x", "y", "v", "observed").groupBy("fold").applyInPandas(place, "fold int, t int, v long")
+                picked.append((pdf["fold"].iloc[0], pdf["t"].iloc[0], o[i], v[i], ids[a, b]))
+        return pd.DataFrame(picked, columns=["fold", "t", "o", "at", "vs"])
+
+    placed = marked.groupBy("fold", "t").applyInPandas(place, "fold int, t int, o long, at long, vs array<long>")
+    total = placed.groupBy("fold").agg(F.sum(F.size("vs")).alias("total"))
+    short = F.raise_error(F.format_string(f"fold %d: no room for more {shape} gaps of width {width}", "fold"))
+    folds = target.join(total, "fold", "left").select("fold", "target", F.when(F.coalesce("total", F.lit(0)) < F.col("target"), short).otherwise(F.lit(True)).alias("enough"))
+    first = running(placed, F.col("o"), ["t", "at"], F.size("vs")).join(F.broadcast(folds), "fold").where("enough AND before < target")
+    return first.select("fold", "t", F.explode("vs").alias("v"))
 
 
 def hide_spatial_gaps(cells: DataFrame, amount: float, width: int = 5, seed: int = 0) -> DataFrame:

@@ -57,10 +57,30 @@ def test_masks(spark):
     assert masking.hide_random(cells, 0.1).count() == sum(int(r.n * 0.1) for r in cells.groupBy("fold").agg(F.count("*").alias("n")).collect())
     with pytest.raises(NotImplementedError):
         masking.hide(cells, "foo", 0.1)
+    with pytest.raises(Exception, match="no room"):
+        masking.hide_spatial_gaps(cells, 0.95, width=9).count()
     with pytest.raises(ValueError):
         masking.assign_folds(cells, 4096, 1)
 
 
+def test_shapes_against_one_greedy_walk(spark):
+    cells = masking.assign_folds(cubes.board(spark).withColumn("observed", (F.col("v") + F.col("t")) % 97 != 0), 4096, 2)
+    order = F.pmod(F.xxhash64(F.lit(3), "fold", "t", "v"), F.lit(2147483647))
+    rows = sorted(cells.select("fold", order, "t", "v", "x", "y", "observed").collect())
+    stamp = [tuple(map(int, p)) for p in np.argwhere(masking.template(5, "cloud"))]
+    want = set()
+    for fold in (0, 1):
+        free = {(r.t, r.x, r.y): r.v for r in rows if r.fold == fold and r.observed}
+        target, hidden = int(len(free) * 0.2), 0
+        for r in rows:
+            spots = [(r.t, r.x + a, r.y + b) for a, b in stamp]
+            if r.fold == fold and hidden < target and all(s in free for s in spots):
+                want |= {(fold, r.t, free.pop(s)) for s in spots}
+                hidden += len(spots)
+    got = [tuple(r) for r in masking.hide_spatial_clouds(cells, 0.2, width=5, seed=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_ssim_and_report(spark):
     rng = np.random.default_rng(0)
     a, b = rng.random((8, 9)), rng.random((8, 9))
