@@ -12,7 +12,9 @@ same document, earlier start).  Suffixes are dealt to shards so that equal strin
     too are undecided.
 3.  Bytes of undecided entries meet by anchor hash.  Their windows are put in suffix order, and with
     the previous and the next smaller position in that order the longest previous factor is known to
-    reach ``width`` or not.
+    reach ``width`` or not.  Of an anchor with over GROUP undecided entries the windows are dealt one by
+    one, by the hash of the whole window, after each map task has settled its own repeats, so no group
+    of a shard grows with the corpus.
 
 Anchors in very many contexts (a short line in a third of all rows) are found by a counting pass
 that keeps at most HOT_SHARE hashes; their windows are dealt one by one, by the hash of the whole
@@ -37,6 +39,10 @@ SLAB = 1 << 20
 #: An anchor is hot from this share of all entries on, so there are at most this many.
 HOT_SHARE = 20_000
 HOT_LEAST = 20_000
+#: Undecided entries of one anchor that meet as a group, at most.
+GROUP = 1024
+#: Windows of larger groups that a map task holds before it deals them out.
+SPARE = 100_000
 #: Bytes of context that a task puts in suffix order at a time, beyond one group.
 CHUNK = 1 << 20
 
@@ -305,19 +311,48 @@ def _meet(batches):
         yield from settle(blobs)
 
 
+_PART = "hash long, dk long, tk long, at int, n int, part binary"
+
+
 def _contexts(width: int):
+    """Undecided entries with their bytes; windows of crowded anchors singly.  Rows without bytes are settled: later copies."""
+
+    def deal(held):
+        e, w = (np.concatenate(x) for x in zip(*held))
+        o = np.lexsort((e["at"], e["key"], e["doc"], e["hash"]))
+        e, w = e[o], w[o]
+        same = np.zeros(len(e), bool)
+        same[1:] = (e["hash"][1:] == e["hash"][:-1]) & (w[1:] == w[:-1]).all(axis=1)
+        once = np.ones(len(e), bool)  # the very same place (repeated rows of one document) is one window
+        once[1:] = (e["hash"][1:] != e["hash"][:-1]) | (e["doc"][1:] != e["doc"][:-1]) | (e["key"][1:] != e["key"][:-1]) | (e["at"][1:] != e["at"][:-1])
+        dk, tk, _, at, n, _ = _flags(e[same & once], LATER)
+        spread = pa.array(mix64(np.arange(len(at), dtype=np.uint64)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([spread, dk, tk, at, n, pa.nulls(len(at), pa.binary())], names=_names(_PART))
+        e, w = e[~same], w[~same]
+        yield pa.RecordBatch.from_arrays([pa.array(e["hash"].view(np.int64)), pa.array(e["doc"]), pa.array(e["key"]), pa.array(e["at"].astype(np.int32)), pa.array(np.ones(len(e), np.int32)), pa.array([x.tobytes() for x in w], pa.binary())], names=_names(_PART))
+
     def run(batches):
+        held, rows = [], 0
         for b in batches:
-            dk, tk, body, spots = (b.column(i) for i in range(4))
-            out = [[], [], [], [], []]
-            for d, t, x, ss in zip(dk.to_pylist(), tk.to_pylist(), body.to_pylist(), spots.to_pylist()):
+            out = [[] for _ in range(6)]
+            for d, t, x, ss in zip(*(b.column(i).to_pylist() for i in range(4))):
                 for s in ss:
-                    out[0].append(s["hash"])
-                    out[1].append(d)
-                    out[2].append(t)
-                    out[3].append(s["at"])
-                    out[4].append(x[s["at"] : s["at"] + s["n"] - 1 + width])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["hash", "dk", "tk", "at", "part"])
+                    part = x[s["at"] : s["at"] + s["n"] - 1 + width]
+                    if not s["crowded"]:
+                        for c, y in zip(out, (s["hash"], d, t, s["at"], s["n"], part)):
+                            c.append(y)
+                        continue
+                    buf, at = np.frombuffer(part, np.uint8), np.arange(s["n"])
+                    e = np.empty(len(at), _ENTRY)
+                    e["hash"], e["ctx"], e["doc"], e["key"], e["at"], e["n"] = _window_hash(_gram_hashes(buf), at, at, width), 0, d, t, s["at"] + at, 1
+                    held.append((e, np.lib.stride_tricks.sliding_window_view(buf, width)))
+                    rows += len(at)
+                    if rows >= SPARE:
+                        yield from deal(held)
+                        held, rows = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=_names(_PART))
+        if held:
+            yield from deal(held)
 
     return run
 
@@ -326,7 +361,8 @@ def _suffix_shards(width: int):
     """Step 3: whole groups of one anchor, CHUNK bytes or more at a time."""
 
     def settle(rows):
-        parts = [r[4] for r in rows]
+        rows = list({r[:4]: r for r in rows}.values())  # repeated rows of one document are one
+        parts = [r[5] for r in rows]
         lens = np.array([len(p) for p in parts])
         buf = np.frombuffer(b"".join(parts), np.uint8)
         n = lens - width + 1
@@ -347,13 +383,19 @@ def _suffix_shards(width: int):
     def run(batches):
         rows, size, last = [], 0, None
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(5))):
+            done = b.filter(pc.is_null(b.column(5)))
+            if done.num_rows:
+                z = pa.array(np.zeros(done.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), z.cast(pa.int32()), done.column(3), done.column(4), z], names=_names(_FLAG))
+            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if r[5] is None:
+                    continue
                 if size >= CHUNK and r[0] != last:
                     yield settle(rows)
                     rows, size = [], 0
                 last = r[0]
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if rows:
             yield settle(rows)
 
@@ -407,10 +449,12 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     hot = spark.sparkContext.broadcast(_hot_anchors(keyed, width))
     dealt = keyed.select("dk", "tk", "body").mapInArrow(_dealer(width, buckets, hot), _DEALT)
     flags = written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FLAG))
-    spot = F.struct("at", "n", "hash")
-    undecided = flags.where(f"kind = {OPEN}").groupBy("dk", "tk").agg(F.collect_list(spot).alias("spots"))
+    undecided = flags.where(f"kind = {OPEN}")
+    crowds = undecided.groupBy("hash").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("hash", F.lit(True).alias("crowded"))
+    spot = F.struct("at", "n", "hash", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    undecided = undecided.join(crowds, "hash", "left").groupBy("dk", "tk").agg(F.collect_list(spot).alias("spots"))
     once = keyed.join(undecided, ["dk", "tk"]).select("dk", "tk", "body", "spots", "carry")
-    contexts = once.mapInArrow(_contexts(width), "hash long, dk long, tk long, at int, part binary")
+    contexts = once.mapInArrow(_contexts(width), _PART)
     found = contexts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_suffix_shards(width), _FLAG)
     later = flags.where(f"kind = {LATER}").unionByName(found).groupBy("dk", "tk").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
     kind = keyed.schema["carry"].dataType.simpleString()
