@@ -210,7 +210,27 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, seed: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, that no benchmark item contaminates.
+
+    Each row is judged by its own text where it lies: nothing is exchanged, and rows that share a doc_id
+    (or have none) do not decide for each other.  Null and empty texts stay.
+    """
+    col, out = docs.columns.index("text"), docs
+    for items in blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, index=index):
+            ready = Index(index.value, seed)
+            for b in batches:
+                stays = np.ones(b.num_rows, bool)
+                stays[[m[0] for m in ready.matches(b.column(col).to_pylist(), share)]] = False
+                yield b.filter(pa.array(stays))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a benchmark item contaminates go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    return clean(docs.select("doc_id", "text", "lang", "source", "n_chars"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -128,6 +128,12 @@ def test_decontamination(spark, sf, table):
     got = {r.doc_id: r for r in decontaminate.contaminated(_docs(spark, ODD + rows), bench).collect()}
     assert set(got) == {10, 11} and got[10].n_tiles == 1 and got[11].n_tiles == 2 and got[11].coverage == 1.0
     assert decontaminate.contaminated(_docs(spark, rows), bench.limit(0)).count() == 0
+    # rows are judged one by one: a contaminated row does not take others of its doc_id, or of none, along
+    rows += [(13, f"{a} {b}"), (None, f"{a} {b}"), (None, "kept")]
+    stay = decontaminate.clean(_docs(spark, ODD + rows), bench)
+    assert stay.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert sorted(map(str, [(r.doc_id, r.text) for r in stay.collect()])) == sorted(map(str, ODD + [(12, a), (13, "clean text here"), (None, "kept")]))
+    assert decontaminate.clean(_docs(spark, rows), bench.limit(0)).count() == len(rows) and decontaminate.clean(_docs(spark, []), bench).count() == 0
     items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
     words = lambda s: re.findall("[a-z0-9\x80-\U0010ffff]+", s.lower())
     grams = lambda w: set(zip(*[w[k:] for k in range(5)]))
@@ -274,17 +280,23 @@ def _brute(rows, width=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [False, True, "crowd"])
 def test_suffix_dedup(spark, hot, monkeypatch, table):
-    if hot:
+    if hot == "crowd":
+        monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+        monkeypatch.setattr(suffix_dedup, "SPARE", 2000)
+    elif hot:
         monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 30)
         monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**8)
     rng = random.Random(4)
     line = "".join(rng.choice("abcdefgh ") for _ in range(260))
     rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 40))) + line[: rng.randint(60, 260)] + str(i)) for i in range(100, 180)]
     rows += [(1, None), (2, ""), (3, "a" * 700), (4, "ab" * 300), (None, line + "q"), (5, "é漢" * 90), (6, "é漢" * 90)] + [(1000 + d, t) for d, t in table[:60]]
-    got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), bytes(r.kept)) for r in suffix_dedup.suffix_dedup(_docs(spark, rows)).collect()}
-    assert got == _brute(rows)
+    again = rows[:30] + rows[-30:]  # repeated rows are one document
+    out = suffix_dedup.suffix_dedup(_docs(spark, rows + again)).collect()
+    assert len(out) == len(rows) + len(again)
+    got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), bytes(r.kept)) for r in out}
+    assert got == _brute(rows) and all(got[r.doc_id][2] == bytes(r.kept) for r in out)
     assert suffix_dedup.suffix_dedup(_docs(spark, [])).count() == 0
 
 
