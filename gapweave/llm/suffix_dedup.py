@@ -41,8 +41,10 @@ HOT_SHARE = 20_000
 HOT_LEAST = 20_000
 #: Undecided entries of one anchor that meet as a group, at most.
 GROUP = 1024
+#: A table of crowded anchors is sent to all tasks up to this many rows; a larger one is met by hash.
+CROWDS = 1 << 17
 #: Windows of larger groups that a map task holds before it deals them out.
-SPARE = 100_000
+SPARE = 25_000
 #: Bytes of context that a task puts in suffix order at a time, beyond one group.
 CHUNK = 1 << 20
 
@@ -451,6 +453,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     flags = written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FLAG))
     undecided = flags.where(f"kind = {OPEN}")
     crowds = undecided.groupBy("hash").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("hash", F.lit(True).alias("crowded"))
+    crowds = written(crowds)
+    crowds = F.broadcast(crowds) if crowds.count() <= CROWDS else crowds
     spot = F.struct("at", "n", "hash", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     undecided = undecided.join(crowds, "hash", "left").groupBy("dk", "tk").agg(F.collect_list(spot).alias("spots"))
     once = keyed.join(undecided, ["dk", "tk"]).select("dk", "tk", "body", "spots", "carry")

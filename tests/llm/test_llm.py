@@ -284,7 +284,6 @@ def _brute(rows, width=100):
 def test_suffix_dedup(spark, hot, monkeypatch, table):
     if hot == "crowd":
         monkeypatch.setattr(suffix_dedup, "GROUP", 3)
-        monkeypatch.setattr(suffix_dedup, "SPARE", 2000)
     elif hot:
         monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 30)
         monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**8)
