@@ -22,11 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, partitions
+from .common import connected_components, cut, partitions, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Largest number of fingerprints that one BK-tree holds; larger shards are dealt as pairs of parts.
 TREE_ROWS = 4096
+#: The pipeline's stage: words of a shingle, Jaccard similarity from which documents are linked, and bands of
+#: MinHash values.  A pair at exactly that similarity shares a band with probability 1 - (1 - 0.8^5)^30 = 0.999993.
+WORDS, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -186,7 +190,99 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, sorted; a shorter text is one shingle, an empty one has none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    h64 = xxhash.xxh64_intdigest
+    if len(parts) < words:
+        return np.array([h64(b" ".join(parts), 42)] if parts else [], np.uint64)
+    line = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = np.concatenate(([0], ends[: len(parts) - words])).tolist()
+    return np.unique(np.array([h64(line[s:e], 42) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist())], np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of MinHash values; a set without shingles has none."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max)
+    for k in range(0, len(shingles), 4096):
+        np.minimum(least, (shingles[k : k + 4096, None] * _ODD[None]).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more.  ``sets``: node, s (distinct)."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            a, b, x, y = batch.columns
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                u, v = x[i].values.to_numpy(zero_copy_only=False), y[i].values.to_numpy(zero_copy_only=False)
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                ok[i] = common >= least * (len(u) + len(v) - common)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok))
+
+    return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b) edges that join all classes whose sets have a Jaccard similarity of ``least`` or more, through others or directly.
+
+    ``classes``: node, n (shingles), keys (of the bands); ``texts``: node, text.  Classes that share a band are
+    compared exactly: first each with the least of the band, then all pairs that this has left in different
+    components, so a band of near copies costs little more than its own length.
+    """
+    cells = classes.select("node", "n", F.explode("keys").alias("key"))
+    cells = written(cells.join(cells.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("c")).where("m > 1"), "key").select("key", "node", "n", "c"))
+
+    def sized(a: str, b: str):
+        return (F.col(a) >= F.col(b) * least) & (F.col(b) >= F.col(a) * least)
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "s"])
+
+    found = written(texts.join(cells.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
+    stars = cells.where((F.col("node") != F.col("c.node")) & sized("n", "c.n")).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = cut(stars)
+    first = _similar(stars, found, least)
+    comps = connected_components(first).withColumnRenamed("node", "of")
+    known = cells.join(comps, cells.node == comps.of, "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    most = known.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = cut(known.join(most, "key").select("key", "node", "n", "comp", F.col("most.comp").alias("main")))
+    # of two classes in different components, one at least is outside its band's largest
+    out = mixed.where("comp <> main").select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+    pairs = out.join(mixed, "key").where((F.col("comp") != F.col("pc")) & sized("n", "pn"))
+    pairs = pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(_similar(pairs, found, least))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one that names the component (its smallest doc_id)."""
-    groups = simhash_groups(docs).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    """One document of each group stays: the one with the smallest doc_id.
+
+    Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, and groups
+    are what links reach.  Equal sets are one class whatever their number.  The Hamming distance of fingerprints
+    does not bound that similarity, so candidates share a band of MinHash values and are then compared exactly.
+    """
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    base = docs.select(*names)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            extra = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*names, "class", "n", "keys"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
+    rows = written(base.mapInArrow(run, f"{kinds}, class binary, n long, keys array<long>").withColumn("node", F.monotonically_increasing_id()))
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"), "node")
+    classes = cut(rows.groupBy("class").agg(F.min(F.struct(best.alias("best"), "n", "keys")).alias("c")).select("c.best", F.col("c.best.node").alias("node"), "c.n", "c.keys"))
+    comps = connected_components(similar_links(classes, rows.select("node", "text"))).withColumnRenamed("node", "of")
+    keep = classes.join(comps, classes.node == comps.of, "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best").alias("best"))
+    keep = keep.select(F.col("best.doc_id").alias("id")).distinct()
+    return rows.join(keep, rows.doc_id.eqNullSafe(keep.id), "left_semi").select(*names)

@@ -327,3 +327,40 @@ def test_pipeline(spark, sf, table):
     assert len(kept) > 0.6 * len(table)
     again = {r.doc_id: hashlib.sha256(str(r.ids).encode()).hexdigest() for r in corpus_pipeline.run(spark, sf).collect()}
     assert again == {r.doc_id: hashlib.sha256(str(r.ids).encode()).hexdigest() for r in docs.collect()}
+
+
+def _shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _groups(texts, least=0.8):
+    """Brute force: the number of each text's group, by all pairs."""
+    sets, up = [_shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or both and both >= least * (len(sets[i]) + len(sets[j]) - both):
+            a, b = up[i], up[j]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+    return up
+
+
+def _near_texts():
+    """Texts, and copies of them with replaced words, whose similarity lies on both sides of 0.8."""
+    rng = random.Random(11)
+    out = []
+    for _ in range(25):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(60, 300))]
+        out.append(" ".join(words))
+        for share in (0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05):
+            out.append(" ".join(w if rng.random() > share else f"x{rng.randint(0, 10**6)}" for w in words))
+    return out + ["", "  ", "one two", "One  two", "three"]
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    texts = _near_texts()
+    sets = [_shingles(t) for t in texts]
+    near = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2) if a and b and a != b]
+    assert sum(0.8 <= x <= 0.95 for x in near) > 20 and sum(0.7 <= x < 0.8 for x in near) > 20
+    kept = sorted(r.doc_id for r in simhash_dedup.stage(spark, _docs(spark, list(enumerate(texts))), "").collect())
+    assert kept == sorted(set(_groups(texts)))
