@@ -301,11 +301,10 @@ def edge_statistics(spark, d):
 
 def _field(how):
     def query(spark, d):
-        m = get_method("RandomField", f"20t,chain,tp:tp,0.1,{how},4")
-        m.rounds = 1
-        cells = _masked(spark, d).persist()
-        m.fit(cells.where("fold <> 0"))
-        return _bands(m.predict(cells.where("fold = 0")), "pred", "t", "v")
+        from .plans.run import Validation
+
+        v = Validation(cubes.lineitem_cube(spark, d), K, False, AMOUNT, "random")
+        return _bands(v.run(get_method("RandomField", f"20t,chain,tp:tp,0.1,{how},4")), "pred", "t", "v")
 
     query.__name__ = f"mrf_{how}"
     return query

@@ -180,3 +180,16 @@ def test_against_sql(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("how", ["map", "sup", "gibbs"])
+def test_field_queries_predict_every_fold(spark, sf, how, monkeypatch):
+    from gapweave import catalogue
+    from gapweave.operators import field
+    from gapweave.plans.methods import RandomField
+
+    rounds, train = [], field.train
+    monkeypatch.setattr(field, "train", lambda s, links, k, n, *a: rounds.append(n) or train(s, links, k, n, *a))
+    got = catalogue.queries()[f"mrf_{how}"](spark, sf).select("t", "v").collect()
+    want = catalogue._masked(spark, sf).select("t", "v").collect()
+    assert sorted(got) == sorted(want) and rounds == [RandomField.rounds] * catalogue.K
