@@ -263,8 +263,9 @@ def similar_links(classes: DataFrame, texts: DataFrame, least: float = LEAST) ->
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id.
+    """One row of each group stays: the one with the smallest doc_id, a null one last.
 
+    Rows stand for themselves: those that share a doc_id (or have none) do not decide for each other.
     Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, and groups
     are what links reach.  Equal sets are one class whatever their number.  The Hamming distance of fingerprints
     does not bound that similarity, so candidates share a band of MinHash values and are then compared exactly.
@@ -284,5 +285,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = cut(rows.groupBy("class").agg(F.min(F.struct(best.alias("best"), "n", "keys")).alias("c")).select("c.best", F.col("c.best.node").alias("node"), "c.n", "c.keys"))
     comps = connected_components(similar_links(classes, rows.select("node", "text"))).withColumnRenamed("node", "of")
     keep = classes.join(comps, classes.node == comps.of, "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best").alias("best"))
-    keep = keep.select(F.col("best.doc_id").alias("id")).distinct()
-    return rows.join(keep, rows.doc_id.eqNullSafe(keep.id), "left_semi").select(*names)
+    return rows.join(keep.select("best.node"), "node", "left_semi").select(*names)

@@ -364,3 +364,10 @@ def test_near_dedup_stage_against_brute_force(spark):
     assert sum(0.8 <= x <= 0.95 for x in near) > 20 and sum(0.7 <= x < 0.8 for x in near) > 20
     kept = sorted(r.doc_id for r in simhash_dedup.stage(spark, _docs(spark, list(enumerate(texts))), "").collect())
     assert kept == sorted(set(_groups(texts)))
+
+
+def test_near_dedup_stage_keeps_one_row_of_a_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (None, c), (None, "only here"), (None, "only here"), (None, a)]
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.stage(spark, _docs(spark, rows), "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (2, c), (None, "only here")], key=str)
