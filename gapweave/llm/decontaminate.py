@@ -107,12 +107,27 @@ class Index:
         self.hash, self.owner, self.at = s[o], owner[o], at[o]
         self.flag = np.zeros(1 << _BITS, bool)
         self.flag[self.hash >> np.uint64(64 - _BITS)] = True
+        # items shorter than a seed: by their number of words, the hash of the whole item
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < seed:
+                self.short.setdefault(len(w), {}).setdefault(int(shingles(w, len(w))[0]), []).append(i)
 
     def matches(self, texts: list[str | None], share: float):
         """Yield (text number, item number, tiles, item words, text words) of contaminated texts."""
         k = self.seed
         for a, b in slabs(texts):
             h, off = word_hashes(texts[a:b])
+            for n, items in self.short.items():
+                s = shingles(h, n)
+                p = np.flatnonzero(np.isin(s, np.fromiter(items, np.uint64, len(items))))
+                text = np.searchsorted(off, p, "right") - 1
+                met = set()
+                for x, y in zip(p[p + n <= off[text + 1]].tolist(), text[p + n <= off[text + 1]].tolist()):
+                    for i in items[int(s[x])]:
+                        if (y, i) not in met:
+                            met.add((y, i))
+                            yield a + y, i, [(x - int(off[y]), 0, n)], n
             s = shingles(h, k)
             p = np.flatnonzero(self.flag[s >> np.uint64(64 - _BITS)])
             lo, hi = np.searchsorted(self.hash, s[p], "left"), np.searchsorted(self.hash, s[p], "right")
@@ -177,8 +192,9 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, seed: int = 5) -> DataFrame:
     """One row per document and benchmark item whose words the document's tiles cover to ``share`` or more.
 
-    Words are lower-cased runs of letters and digits.  Null and empty texts match nothing, nor do
-    items with fewer words than a seed or a null item_id.  Repeated documents and repeated items give
+    Words are lower-cased runs of letters and digits.  An item with fewer words than a seed is matched
+    whole, as one run.  Null and empty texts and items match nothing, nor do items with a null item_id.
+    Repeated documents and repeated items give
     repeated rows.  Empty tables give an empty table.  Other columns are not read.
     """
     spark = docs.sparkSession

@@ -371,3 +371,11 @@ def test_near_dedup_stage_keeps_one_row_of_a_group(spark):
     rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (None, c), (None, "only here"), (None, "only here"), (None, a)]
     kept = [(r.doc_id, r.text) for r in simhash_dedup.stage(spark, _docs(spark, rows), "").collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (1, b), (2, c), (None, "only here")], key=str)
+
+
+def test_items_shorter_than_a_seed(spark):
+    items = spark.createDataFrame([(1, "Deep blue sea"), (2, "whale"), (3, "?!"), (4, "sea the ship"), (5, "deep blue sea")], "item_id long, text string")
+    docs = _docs(spark, [(1, "In the deep, BLUE sea; the deep blue sea."), (2, "the whales"), (3, "A whale"), (4, None), (5, "deep blue"), (6, "sea deep"), (7, "?!")])
+    got = sorted(map(tuple, decontaminate.contaminated(docs, items).select("doc_id", "item_id", "n_tiles", "n_matched", "n_words", "coverage").collect()))
+    assert got == [(1, 1, 1, 3, 3, 1.0), (1, 5, 1, 3, 3, 1.0), (3, 2, 1, 1, 1, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 4, 5, 6, 7]
