@@ -3,9 +3,10 @@
 Every page is parsed once.  Furniture (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) goes by its markup, and the subtrees of the elements are hashed.  Spark
 counts on how many pages of a host each subtree stands; subtrees on many of them are the site's
-template, and the blocks inside are deleted.  What holds an article, and the paragraphs, headings and
-lists of an article, are never taken for a template, however often they recur: copies of an article
-stay whole.
+template, and the blocks inside are deleted.  Pages of a host with the same main text count once, so
+copies of a page are no template of the host.  What holds an article, the paragraphs, headings and lists
+of an article, what holds these, and what holds most of its text are never taken for a template, however
+often they recur: copies of an article stay whole.
 """
 
 from __future__ import annotations
@@ -162,18 +163,32 @@ def read(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     nodes, blocks = parse(page)
     kinds = {n.tag for n in nodes if not n.drop}
     want = "article" if "article" in kinds else "main" if "main" in kinds else None
-    inside, over = [want is None] * len(nodes), [[] for _ in nodes]
+    inside, size = [want is None] * len(nodes), [0] * len(nodes)
     for i, n in enumerate(nodes[1:], 1):
         inside[i] = inside[n.up] or n.tag == want
+    kept = [(text, i) for i, text in blocks if inside[i] and not nodes[i].drop]
+    for text, i in kept:
+        size[i] += len(text)
+    total = sum(size)
+    for i in range(len(nodes) - 1, 0, -1):
+        n = nodes[i]
+        size[n.up] += size[i]
+        if n.article and size[i]:  # what holds prose of an article, or most of its text, is the article's
+            n.holds |= 2 * size[i] > total
+            if n.holds or n.tag in _PROSE:
+                nodes[n.up].holds = True
+    over = [[] for _ in nodes]
+    for i, n in enumerate(nodes[1:], 1):
         over[i] = over[n.up] + [n.hash] if n.candidate() else over[n.up]
-    return [(text, over[i]) for i, text in blocks if inside[i] and not nodes[i].drop], list(dict.fromkeys(n.hash for n in nodes[1:] if n.candidate()))
+    return [(text, over[i]) for text, i in kept], list(dict.fromkeys(n.hash for n in nodes[1:] if n.candidate()))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages.
 
     Null or empty html has an empty text.  A page whose url is null or names no host shares its templates
-    with the others of that kind.  Repeated rows count as pages of their own.  Broken markup is read as
+    with the others of that kind.  Pages of a host with the same main text, templates included, count as one
+    page.  Broken markup is read as
     browsers do in the main cases (missing ends, unclosed quotes).  An empty table gives an empty table.
     Other columns are not read.
     """
@@ -189,11 +204,13 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 c = b.slice(at, 256)
                 rows = [read(x) for x in c.column(3).to_pylist()]
                 blocks = [[{"text": t, "trees": h} for t, h in r[0]] for r in rows]
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(2), pa.array(blocks, block), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["page_id", "url", "host", "blocks", "trees"])
+                same = [int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in r[0]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for r in rows]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(2), pa.array(blocks, block), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array(same, pa.int64())], names=["page_id", "url", "host", "blocks", "trees", "same"])
 
-    seen = written(base.mapInArrow(parsed, f"page_id {page_kind}, url string, host string, blocks array<struct<text:string,trees:array<long>>>, trees array<long>"))
+    seen = written(base.mapInArrow(parsed, f"page_id {page_kind}, url string, host string, blocks array<struct<text:string,trees:array<long>>>, trees array<long>, same long"))
+    once = seen.groupBy("host", "same").agg(F.min("trees").alias("trees"))
     # one pass: the number of pages of a host is the count of a marker that every page has
-    counts = seen.select("host", F.explode(F.array_append(F.col("trees"), F.lit(None).cast("long"))).alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
+    counts = once.select("host", F.explode(F.array_append(F.col("trees"), F.lit(None).cast("long"))).alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
     pages_of = counts.where("tree IS NULL").select("host", F.col("n").alias("pages"))
     often = counts.where((F.col("n") >= min_pages) & F.col("tree").isNotNull()).join(pages_of, "host").where(F.col("n") >= F.col("pages") * min_share)
     # each page has a bounded number of subtrees, so those on a fixed share of a host's pages are boundedly many

@@ -237,6 +237,18 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_stay_whole(spark):
+    wrapped = "<body><div>Site slogan</div><article><div><section><p>One.</p><p>Two.</p></section><div>Three.</div></div></article></body>"
+    bare = "<article><div><div>A long first part of the text.</div><br>More.</div></article>"
+    plain = "<body><div><p>First words.</p><p>More words.</p></div></body>"
+    pages = [("a", wrapped)] * 3 + [("a", "<article><p>Other.</p></article>")] + [("b", plain)] * 3 + [("c", bare)] * 3 + [("d", wrapped.replace("Two", f"Two {i}")) for i in range(4)]
+    df = spark.createDataFrame([(i, f"https://{h}.example/{i}", x) for i, (h, x) in enumerate(pages)], "page_id long, url string, html string")
+    got = [r.text for r in html_extract.extract(df).orderBy("page_id").collect()]
+    assert got[:3] == ["One.\nTwo.\nThree."] * 3 and got[4:7] == ["First words.\nMore words."] * 3
+    assert got[7:10] == ["A long first part of the text.\nMore."] * 3
+    assert all(g.startswith(f"One.\nTwo {i}.") for i, g in enumerate(got[10:]))
+
+
 # -- 8 ----------------------------------------------------------------------------------------------
 def test_sharding(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "a") for i in range(1003)] + [(7, "a")] * 3 + [(None, "b")], "doc_id long, shard_note string")
