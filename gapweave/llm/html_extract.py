@@ -1,6 +1,6 @@
 """Main text of web pages: site templates are found by counting, page furniture by its markup.
 
-Every page is parsed once.  Furniture (menus, headers, footers, sidebars, notices, adverts, forms,
+Every page is parsed once (once more if furniture seems to hold all of its articles).  Furniture (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) goes by its markup, and the subtrees of the elements are hashed.  Spark
 counts on how many pages of a host each subtree stands; subtrees on many of them are the site's
 template, and the blocks inside are deleted.  Pages of a host with the same main text count once, so
@@ -44,6 +44,8 @@ _LIMIT = frozenset("ul ol dl table body html div section article main nav aside
 _WORDS = frozenset(
     "nav navbar navigation menu menus header masthead footer sidebar sidebars ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments replies reply disqus respond discussion toolbar widget widgets search skip copyright".split()
 )
+#: A class name with one of these words says what the element is beside, or what it lacks.
+_BESIDE = frozenset("no not non without with has have hide hidden".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
@@ -61,7 +63,8 @@ class Node:
         return bool(self.kids) and not self.holds and not (self.article and self.tag in _PROSE) and self.tag not in ("html", "body")
 
 
-def _furniture(tag: str, attrs: str) -> bool:
+def _furniture(tag: str, attrs: str, named: bool = True) -> bool:
+    """Whether the markup says so; by class or id only where ``named``."""
     if tag in _FURNITURE:
         return True
     if not attrs or tag in ("html", "body"):
@@ -72,13 +75,15 @@ def _furniture(tag: str, attrs: str) -> bool:
             return True
         if name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and tag != "main" and not _WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
+        if named and name in ("class", "id") and tag != "main":
+            for words in map(_SPLIT.split, value.split()):
+                if not _WORDS.isdisjoint(words) and _BESIDE.isdisjoint(words):
+                    return True
     return False
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Elements in page order, and blocks of text as (element, text)."""
+def parse(page: str, spare: frozenset[int] = frozenset()) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Elements in page order, and blocks of text as (element, text).  Those in ``spare`` are no furniture by name."""
     nodes = [Node("#page", -1, False, False)]
     stack = [0]
     blocks: list[tuple[int, str]] = []
@@ -141,7 +146,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if t in _LIMIT:
                 break
         up = nodes[stack[-1]]
-        drop = up.drop or _furniture(tag, m[3] or m[6])
+        drop = up.drop or _furniture(tag, m[3] or m[6], len(nodes) not in spare)
         if tag == "header":
             drop = True
         elif up.tag == "header" and up.article and tag in _HEADINGS:
@@ -161,6 +166,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 def read(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """Blocks of the main part without furniture, each with the template candidates that hold it; all candidates."""
     nodes, blocks = parse(page)
+    main = [i for i, n in enumerate(nodes) if n.tag in ("article", "main")]
+    if main and all(nodes[i].drop for i in main):  # a name on the page's main part, or on what holds it
+        nodes, blocks = parse(page, frozenset(i for i, n in enumerate(nodes) if n.holds or n.tag in ("article", "main")))
     kinds = {n.tag for n in nodes if not n.drop}
     want = "article" if "article" in kinds else "main" if "main" in kinds else None
     inside, size = [want is None] * len(nodes), [0] * len(nodes)

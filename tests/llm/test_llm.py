@@ -249,6 +249,15 @@ def test_html_copies_stay_whole(spark):
     assert all(g.startswith(f"One.\nTwo {i}.") for i, g in enumerate(got[10:]))
 
 
+def test_html_layout_classes():
+    for page in (
+        "<div class='content no-sidebar'><p>a</p></div>", "<div id='page' class='with-sidebar'><p>a</p></div>", "<article class='post has-comments'><p>a</p></article>",
+        "<div id=search-page><article><p>a</p></article></div>", "<article class='promo'><p>a</p></article>", "<div id=sidebar><p>b</p></div><p>a</p>", "<article><p>a</p><div class='post no-js comments'>b</div></article>",
+        "<article><p>a</p></article><div id=comments><article class=comment><p>b</p></article></div>",
+    ):
+        assert [t for t, _ in html_extract.read(page)[0]] == ["a"], page
+
+
 # -- 8 ----------------------------------------------------------------------------------------------
 def test_sharding(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "a") for i in range(1003)] + [(7, "a")] * 3 + [(None, "b")], "doc_id long, shard_note string")
