@@ -216,12 +216,11 @@ def _hot_anchors(keyed: DataFrame, width: int) -> np.ndarray:
             yield out()
 
     # rows under 16 in a task's buffer are left out of the counts: at hot sizes that is a small part
-    seen = keyed.select("body").mapInArrow(run, "hash long, n long, rows long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    seen = seen.where(f"n >= {HOT_LEAST // 4} OR rows > 0")
-    top = seen.orderBy(F.desc("rows"), F.desc("n")).limit(4 * HOT_SHARE).toArrow()
-    total = sum(top["rows"].to_pylist())
-    hot = [h for h, n in zip(top["hash"].to_pylist(), top["n"].to_pylist()) if n >= max(HOT_LEAST // 2, total // HOT_SHARE)]
-    return np.sort(np.array(hot, np.int64).view(np.uint64))
+    seen = written(keyed.select("body").mapInArrow(run, "hash long, n long, rows long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where(f"n >= {HOT_LEAST // 2} OR rows > 0"))
+    total = seen.agg(F.sum("rows")).first()[0] or 0
+    # a HOT_SHARE-th of all entries each: no more than HOT_SHARE hashes can be that frequent
+    hot = seen.where(F.col("n") >= max(HOT_LEAST // 2, total // HOT_SHARE)).select("hash").toArrow()
+    return np.sort(np.array(hot["hash"].to_pylist(), np.int64).view(np.uint64))
 
 
 def _dealer(width: int, buckets: int, hot):
