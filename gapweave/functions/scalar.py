@@ -13,10 +13,11 @@ def exact_mean(c: str) -> Column:
 
 def portable_hash(*cols: Column, seed: int = 0) -> Column:
     """Pseudo-random order in 0 .. 2^31 - 2 from plain integer arithmetic, so that any engine can repeat it."""
-    total = F.lit(seed).cast("long")
+    total = F.lit(0).cast("long")
     for c, m in zip(cols, (7919, 104729, 1299709)):
         total = total + c * m
-    return F.pmod(F.pmod(total, F.lit(1000003)) * 48271 + 12345, F.lit(2147483647))
+    by, plus = 48271 + 194 * seed % 2147483647, (12345 + 1566083941 * seed) % 2147483647  # another order for each seed
+    return F.pmod(F.pmod(total, F.lit(1000003)) * by + plus, F.lit(2147483647))
 
 
 def vertex(x: Column, y: Column, height: int) -> Column:
@@ -42,17 +43,17 @@ def error_label(mae: Column) -> Column:
     return F.when(mae == 0, F.lit("n.a. ")).otherwise(F.format_string("%4.1f", mae))
 
 
-#: Parts of the name of a random-field report, in order.
-NAME = r"^MRF_([0-9_]+[tr])_([a-z0-9]+)-([a-z0-9]+)-([a-z0-9]+)_l([0-9_]+)_([a-z]+)_em(\d+)_K(\d+)_(.+)$"
-NAME_PARTS = ("stop", "shape", "tprior", "sprior", "lam", "predict", "em", "k", "hide")
+# How a random-field report is named, and its parts in order (case does not matter).
+NAME = r"(?i)^MRF_S(\d+(?:_\d+)?)_([a-z][a-z0-9]*)_([a-z][a-z0-9]*)_(\d+(?:_\d+)?)_([a-z0-9]+)_([a-z]+)_em(\d+)_(\d+)Means_(.+)$"
+NAME_PARTS = ("stop", "tprior", "sprior", "lam", "shape", "predict", "em", "k", "hide")
 
 
 def parse_report_name(c: Column) -> list[Column]:
-    """Columns stop, shape, priors, lam (double), predict, em, k, hide; null where the name is another."""
+    """Columns stop and lam (double), priors, shape, predict, em, k, hide; null where the name is another."""
     out = []
     for i, name in enumerate(NAME_PARTS, 1):
         part = F.when(c.rlike(NAME), F.regexp_extract(c, NAME, i))
-        if name == "lam":
+        if name in ("stop", "lam"):
             part = F.replace(part, F.lit("_"), F.lit(".")).cast("double")
         elif name in ("em", "k"):
             part = part.cast("int")

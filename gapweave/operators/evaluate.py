@@ -22,10 +22,10 @@ def _rmse() -> Column:
 
 
 def metrics(pred: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """MAE and RMSE for several groupings in one pass (grouping sets over fold, t)."""
+    """MAE and RMSE for several groupings in one pass (grouping sets over fold, t); a cell counts by its first band."""
     e = errors(pred)
     cols = [F.col("fold"), F.col("t")]
-    return e.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(F.count_distinct("t", "v").alias("n_cells"), _mae().alias("mae"), _rmse().alias("rmse"))
+    return e.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(F.count_if(F.col("band") == 0).alias("n_cells"), _mae().alias("mae"), _rmse().alias("rmse"))
 
 
 def r2(pred: DataFrame, *keys: str) -> DataFrame:
@@ -36,9 +36,9 @@ def r2(pred: DataFrame, *keys: str) -> DataFrame:
 
 def band_r2(pred: DataFrame, *keys: str) -> DataFrame:
     e = errors(pred)
-    # moments about the band's mean: two aggregates instead of a difference of large sums
-    mean = F.avg("y").over(Window.partitionBy(*keys, "band"))
-    s = e.withColumn("m", mean).groupBy(*keys, "band").agg(F.count("*").alias("n"), F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("res"), F.sum((F.col("y") - F.col("m")) * (F.col("y") - F.col("m"))).alias("tot"))
+    # moments about the band's mean: two combinable aggregates instead of a difference of large sums
+    means = F.broadcast(e.groupBy(*keys, "band").agg(F.avg("y").alias("m")))  # a row for each group and band
+    s = e.join(means, [*keys, "band"]).groupBy(*keys, "band").agg(F.count("*").alias("n"), F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("res"), F.sum((F.col("y") - F.col("m")) * (F.col("y") - F.col("m"))).alias("tot"))
     value = F.when(F.col("n") < 2, F.lit(None).cast("double")).when(F.col("tot") == 0, F.when(F.col("res") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide("res", "tot"))
     return s.select(*keys, "band", "n", value.alias("r2"))
 
@@ -65,6 +65,26 @@ def ssim(cells: DataFrame, a: str, b: str, data_range: float = 2.0, win: int = 7
     return two.groupBy("t").agg(F.avg(value).alias("ssim"))
 
 
+def timed_report(report: DataFrame, pred: DataFrame, seconds: dict[int, tuple[float, float]]) -> DataFrame:
+    """A fold report in the order of its file: adds day (null for totals), and t_train and t_pred of the fold.
+
+    ``pred``: cells with t and day; ``seconds``: fold -> (training, prediction).
+    """
+    days = F.broadcast(pred.select(F.col("t").cast("string").alias("t"), "day").distinct())
+    took = F.create_map(*[F.lit(x) for f, s in seconds.items() for x in (int(f), F.struct(F.lit(float(s[0])).alias("t_train"), F.lit(float(s[1])).alias("t_pred")))])
+    return report.join(days, "t", "left").withColumn("_s", took[F.col("fold")]).select("fold", *([c for c in ("version",) if c in report.columns]), "t", "day", "obs", "miss", "hid", "mae", "rmse", "r2", "ssim", "_s.t_train", "_s.t_pred")
+
+
+# Columns of report files, by kind.
+FOLD_FILE = "t string, day int, obs long, miss long, hid long, mae double, rmse double, r2 double, ssim double, t_train double, t_pred double"
+CV_FILE = "t string, day int, obs long, miss long, hid long, mae double, mae_std double, rmse double, rmse_std double, r2 double, r2_std double, ssim double, ssim_std double, t_train double, t_pred double"
+
+
+def read_reports(spark, folder: str, kind: str = CV_FILE) -> DataFrame:
+    """Report files below ``folder`` in partition folders (version=..., and fold=... for fold reports); 'n.a.' is null."""
+    return spark.read.schema(kind).option("header", True).option("nullValue", "n.a.").option("basePath", folder).csv(folder)
+
+
 def fold_report(pred: DataFrame) -> DataFrame:
     """fold, t ('all' for totals), obs, miss, hid, mae, rmse, r2, ssim.
 
@@ -93,20 +113,26 @@ def fold_report(pred: DataFrame) -> DataFrame:
 def cv_report(folds: DataFrame) -> DataFrame:
     """By version and t over folds: summed counts, means and population deviations weighted by hidden cells.
 
-    Zeros where nothing is hidden; the 'all' row takes the plain mean then.
+    Zeros where nothing is hidden; the 'all' row takes the plain mean then.  Where the fold reports have day, t_train and
+    t_pred, so has the result, with the mean seconds over the folds of each version.
     """
     w = F.col("hid").cast("double")
     scores = ("mae", "rmse", "r2", "ssim")
     means = folds.groupBy("version", "t").agg(*[F.sum(c).alias(c) for c in ("obs", "miss", "hid")], *[F.coalesce(F.try_divide(F.sum(w * F.col(c)), F.sum(w)), F.when(F.col("t") == "all", F.avg(c)).otherwise(0.0)).alias(c) for c in scores])
     spread = folds.join(means.select("version", "t", *[F.col(c).alias(f"m_{c}") for c in scores]), ["version", "t"]).groupBy("version", "t").agg(*[F.sqrt(F.coalesce(F.try_divide(F.sum(w * (F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}"))), F.sum(w)), F.lit(0.0))).alias(f"{c}_std") for c in scores])
     out = ["version", "t", "obs", "miss", "hid"] + [x for c in scores for x in (c, f"{c}_std")]
-    return means.join(spread, ["version", "t"]).select(*out)
+    report = means.join(spread, ["version", "t"])
+    if "t_train" not in folds.columns:
+        return report.select(*out)
+    took = F.broadcast(folds.where("t = 'all'").groupBy("version").agg(F.avg("t_train").alias("t_train"), F.avg("t_pred").alias("t_pred")))
+    days = F.broadcast(folds.select("t", "day").distinct())
+    return report.join(took, "version", "left").join(days, "t", "left").select("version", "t", "day", *out[2:], "t_train", "t_pred")
 
 
 def comparison_report(reports: DataFrame) -> DataFrame:
-    """The total row of each version; deviations are null where a report has none."""
+    """The total row of each version; deviations and seconds are null where a report has none."""
     has = [c if c in reports.columns else F.lit(None).cast("double").alias(c) for c in ("mae_std", "rmse_std", "r2_std", "ssim_std")]
-    return reports.where("t = 'all'").select("version", "obs", "miss", "hid", "mae", has[0], "rmse", has[1], "r2", has[2], "ssim", has[3])
+    return reports.where("t = 'all'").select("version", "obs", "miss", "hid", "mae", has[0], "rmse", has[1], "r2", has[2], "ssim", has[3], *[c for c in ("t_train", "t_pred") if c in reports.columns])
 
 
 def cumulative_error(report: DataFrame) -> DataFrame:
@@ -122,7 +148,7 @@ def error_by_lambda(comparison: DataFrame) -> DataFrame:
     """(series, lam, error): random-field versions by all but lambda; others as level lines over the range of lambda."""
     rows = comparison.select("version", "mae", *parse_report_name(F.col("version")))
     field = rows.where("lam IS NOT NULL")
-    name = F.concat_ws(",", "stop", "shape", "tprior", "sprior", "predict", F.col("em").cast("string"), F.col("k").cast("string"), "hide")
+    name = F.concat_ws(",", F.col("stop").cast("string"), "shape", "tprior", "sprior", "predict", F.col("em").cast("string"), F.col("k").cast("string"), "hide")
     ends = field.agg(F.coalesce(F.min("lam"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("lam"), F.lit(1.0)).alias("hi"))
     level = rows.where("lam IS NULL").crossJoin(F.broadcast(ends)).select(F.col("version").alias("series"), F.explode(F.array("lo", "hi")).alias("lam"), F.col("mae").alias("error"))
     return field.select(name.alias("series"), "lam", F.col("mae").alias("error")).unionByName(level)

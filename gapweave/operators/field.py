@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +12,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Names of priors, ways to predict, and shapes in a configuration.
 PRIORS, PREDICT = ("noprior", "l2", "es", "tp"), ("map", "sup", "gibbs")
+SHAPES = {"chain": 1, "cross": 3}
+#: Slices in one pass over arrays.
+BLOCK = 256
+
+
+def find(name: str, known: tuple[str, ...], what: str) -> str:
+    """The registered name, whatever its case; an error that lists all of them otherwise."""
+    for k in known:
+        if k == name.lower():
+            return k
+    raise RuntimeError(f"bad {what} {name!r}: one of {known}")
 
 
 @dataclass(frozen=True)
@@ -35,17 +49,17 @@ class FieldConfig:
         m = re.fullmatch(r"(\d+(?:\.\d+)?)(r|t)", stop)
         if not m or (m[2] == "t" and "." in m[1]):
             raise RuntimeError(f"bad stop rule {stop!r}: iterations like 10t or a change like 0.01r")
-        s = re.fullmatch(r"(chain|cross)(\d*)", shape)
-        if not s or (s[1] == "chain") != (s[2] == "") or (s[2] and (int(s[2]) < 3 or int(s[2]) % 2 == 0)):
+        s = re.fullmatch(r"([a-z]+)(\d*)", shape.lower())
+        least = SHAPES[find(s[1] if s else shape, tuple(SHAPES), "shape")]
+        if (least == 1) != (s[2] == "") or (s[2] and (int(s[2]) < least or int(s[2]) % 2 == 0)):
             raise RuntimeError(f"bad shape {shape!r}: chain, or cross with an odd width")
         p = prior.split(":")
-        if len(p) != 2 or not set(p) <= set(PRIORS):
+        if len(p) != 2:
             raise RuntimeError(f"bad priors {prior!r}: two of {PRIORS} with a colon between")
-        if predict not in PREDICT:
-            raise RuntimeError(f"bad prediction {predict!r}: one of {PREDICT}")
+        p = [find(x, PRIORS, "prior") for x in p]
         if not re.fullmatch(r"\d+(\.\d+)?", lam) or not k.isdigit() or int(k) < 2:
             raise RuntimeError("lambda must be a number and k an integer of at least 2")
-        return cls(float(m[1]), m[2], int(s[2] or 1), p[0], p[1], float(lam), predict, int(k))
+        return cls(float(m[1]), m[2], int(s[2] or 1), p[0], p[1], float(lam), find(predict, PREDICT, "prediction"), int(k))
 
 
 def edges(spark: SparkSession, dates: int, width: int = 1) -> DataFrame:
@@ -88,6 +102,24 @@ def spatial_pairs(states: DataFrame) -> DataFrame:
     return a.join(states.select("t", "x", "y", F.col("state").alias("s1")), ["t", "x", "y"]).select("s0", "s1")
 
 
+def slice_pairs(slices: DataFrame, links: np.ndarray) -> DataFrame:
+    """(s0, s1) of the ends of each link, the node with the smaller number first.  ``slices``: nodes (-1 where unknown)."""
+    ends = F.array(*[F.struct(F.lit(int(min(u, w))).alias("a"), F.lit(int(max(u, w))).alias("b")) for u, w in links])
+    state = lambda at: F.nullif(F.get("nodes", F.col(at)), F.lit(-1))
+    return slices.select("nodes", F.explode(ends).alias("l")).select(state("l.a").alias("s0"), state("l.b").alias("s1"))
+
+
+def date_links(dates: int, width: int = 1) -> np.ndarray:
+    """Each node of a date with the same place on the next date."""
+    size = 2 * width - 1
+    return np.array([(t * size + s, (t + 1) * size + s) for t in range(dates - 1) for s in range(size)], np.int64).reshape(-1, 2)
+
+
+def leaf_links(dates: int, width: int = 1) -> np.ndarray:
+    """The edges within dates."""
+    return edge_list(dates, width)[max(0, dates - 1) :]
+
+
 def node_states(states: DataFrame) -> DataFrame:
     """(v, nodes array<int>): states of a slice by node number, -1 where unknown.  ``states``: v, node, state."""
     return states.groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", F.coalesce("state", F.lit(-1)).alias("state")))), lambda s: s["state"]).alias("nodes"))
@@ -151,22 +183,31 @@ class Tree:
             own[:, p] += msgs[c]
         return msgs
 
-    def marginals(self, theta: np.ndarray, nodes: np.ndarray):
-        """(log-partition, node marginals, pair marginals by edge) given the known states."""
+    def marginals(self, theta: np.ndarray, nodes: np.ndarray, pairs: str | None = "each"):
+        """(log-partition, node marginals, pair marginals by edge) given the known states.
+
+        Pair marginals are those of "each" row, their "sum" over rows (edges x k x k numbers whatever the rows), or none.
+        """
         k = theta.shape[1]
         own = self._clamped(nodes, k)
         msgs = self._upward(theta, own, _lse)
         logz = _lse(own[:, self.root], 1)
         full = {self.root: own[:, self.root]}
-        pairs = np.empty((len(nodes), len(self.links), k, k))
+        out = None if pairs is None else np.empty(((len(nodes),) if pairs == "each" else ()) + (len(self.links), k, k))
         for e, p, c, back in self.down:
             th = theta[e].T if back else theta[e]
             joint = (full[p] - msgs[c])[:, :, None] + th[None] + own[:, c][:, None, :]
-            prob = np.exp(joint - logz[:, None, None])
-            pairs[:, e] = prob.transpose(0, 2, 1) if back else prob
             full[c] = _lse(joint, 1)
+            if out is None:
+                continue
+            prob = np.exp(joint - logz[:, None, None])
+            prob = prob.transpose(0, 2, 1) if back else prob
+            if pairs == "each":
+                out[:, e] = prob
+            else:
+                out[e] = prob.sum(axis=0)
         uni = np.stack([np.exp(full[i] - logz[:, None]) for i in range(self.n)], axis=1)
-        return logz, uni, pairs
+        return logz, uni, out
 
     def best(self, theta: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Most likely states given the known ones."""
@@ -174,21 +215,27 @@ class Tree:
         self._upward(theta, own, lambda a, axis: a.max(axis=axis))
         return self._walk(theta, own, lambda scores: scores.argmax(axis=1))
 
-    def draw(self, theta: np.ndarray, nodes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """An exact sample given the known states: filter upward, sample downward."""
+    def draw(self, theta: np.ndarray, nodes: np.ndarray, noise: np.ndarray) -> np.ndarray:
+        """An exact sample given the known states: filter upward, sample downward.  ``noise``: Gumbel, rows x nodes x k."""
         own = self._clamped(nodes, theta.shape[1])
         self._upward(theta, own, _lse)
-        return self._walk(theta, own, lambda s: (s + rng.gumbel(size=s.shape)).argmax(axis=1))
+        return self._walk(theta, own, lambda s: (s[0] + noise[:, s[1]]).argmax(axis=1), True)
 
-    def _walk(self, theta, own, choose) -> np.ndarray:
+    def _walk(self, theta, own, choose, numbered: bool = False) -> np.ndarray:
         out = np.empty((len(own), self.n), np.int64)
-        out[:, self.root] = choose(own[:, self.root])
+        out[:, self.root] = choose((own[:, self.root], self.root) if numbered else own[:, self.root])
         for e, p, c, back in self.down:
             th = theta[e].T if back else theta[e]
-            out[:, c] = choose(th[out[:, p]] + own[:, c])
+            score = th[out[:, p]] + own[:, c]
+            out[:, c] = choose((score, c) if numbered else score)
         return out
 
 
+def gumbel(vertices, nodes: int, k: int, seed: int = 0) -> np.ndarray:
+    """Noise that depends on the seed and the vertex alone, however rows are batched."""
+    return np.stack([np.random.default_rng([seed, int(v) & 0xFFFFFFFFFFFFFFFF]).gumbel(size=(nodes, k)) for v in vertices])
+
+
 def expected_counts(slices: DataFrame, links: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """Sum over slices of the pair marginals given what is known: one aggregate, edges x k x k numbers in all."""
     n_edges, k = theta.shape[:2]
@@ -198,8 +245,8 @@ def expected_counts(slices: DataFrame, links: np.ndarray, theta: np.ndarray) ->
         li, th = sent.value
         tree, total = Tree(li), np.zeros((n_edges, k, k))
         for pdf in frames:
-            if len(pdf):
-                total += tree.marginals(th, np.array(pdf["nodes"].tolist(), np.int64))[2].sum(axis=0)
+            for a in range(0, len(pdf), BLOCK):
+                total += tree.marginals(th, np.array(pdf["nodes"].iloc[a : a + BLOCK].tolist(), np.int64), "sum")[2]
         yield pd.DataFrame({"i": np.arange(total.size), "w": total.ravel()})
 
     rows = slices.select("nodes").mapInPandas(run, "i long, w double").groupBy("i").agg(F.sum("w").alias("w")).toPandas()
@@ -208,8 +255,13 @@ def expected_counts(slices: DataFrame, links: np.ndarray, theta: np.ndarray) ->
     return out.reshape(n_edges, k, k)
 
 
-def maximise(links: np.ndarray, share: np.ndarray, theta: np.ndarray, prior: np.ndarray | None, lam: np.ndarray, stop: float, kind: str) -> tuple[np.ndarray, list[float]]:
-    """Minimise A(theta) - <share, theta> + sum lam |theta - prior|^2; stops after ``stop`` steps or 100 still ones."""
+def maximise(links: np.ndarray, share: np.ndarray, theta: np.ndarray, prior: np.ndarray | None, lam: np.ndarray, stop: float, kind: str, progress: Callable | None = None, regulariser: Callable | None = None, most: int = 20_000) -> tuple[np.ndarray, list[float]]:
+    """Minimise A(theta) - <share, theta> + sum lam |theta - prior|^2.
+
+    Kind "t": ``stop`` steps.  Kind "r": until 100 steps in a row have changed the objective by ``stop`` or less, with a
+    warning if that is not so after ``most`` steps.  Hooks: progress(step, objective) after each step, and
+    regulariser(theta) -> (penalty, its gradient) in place of the quadratic one.
+    """
     tree = Tree(links)
     blank = np.full((1, len(links) + 1), -1)
     lam3 = lam[:, None, None] if prior is not None else np.zeros((len(links), 1, 1))
@@ -217,12 +269,12 @@ def maximise(links: np.ndarray, share: np.ndarray, theta: np.ndarray, prior: np.
 
     def value(th):
         logz, _, pairs = tree.marginals(th, blank)
-        loss = float(logz[0] - (share * th).sum() + (lam3 * (th - goal) ** 2).sum())
-        return loss, pairs[0] - share + 2 * lam3 * (th - goal)
+        more, slope = regulariser(th) if regulariser else ((lam3 * (th - goal) ** 2).sum(), 2 * lam3 * (th - goal))
+        return float(logz[0] - (share * th).sum() + more), pairs[0] - share + slope
 
     path, still, size = [], 0, 1.0
     now, grad = value(theta)
-    for _ in range(int(stop) if kind == "t" else 2000):
+    for step in range(int(stop) if kind == "t" else most):
         while True:
             new = theta - size * grad
             got, new_grad = value(new)
@@ -232,19 +284,23 @@ def maximise(links: np.ndarray, share: np.ndarray, theta: np.ndarray, prior: np.
         still = still + 1 if abs(now - got) <= (stop if kind == "r" else -1) else 0
         theta, now, grad, size = new, got, new_grad, min(size * 1.5, 16.0)
         path.append(now)
-        if still > 100:
+        if progress:
+            progress(step, now)
+        if still >= 100:
             break
+    if kind == "r" and still < 100:
+        warnings.warn(f"the field has not settled after {most} steps", stacklevel=2)
     return theta, path
 
 
-def train(slices: DataFrame, links: np.ndarray, k: int, rounds: int = 2, stop: float = 0.01, kind: str = "r", prior: np.ndarray | None = None, lam: np.ndarray | None = None) -> tuple[np.ndarray, list[list[float]]]:
+def train(slices: DataFrame, links: np.ndarray, k: int, rounds: int = 2, stop: float = 0.01, kind: str = "r", prior: np.ndarray | None = None, lam: np.ndarray | None = None, **hooks) -> tuple[np.ndarray, list[list[float]]]:
     """EM: expected pair counts in Spark, maximisation on their fixed-size sum.  Returns weights and objectives."""
     n = slices.count()
     theta, paths = np.zeros((len(links), k, k)), []
     lam = np.zeros(len(links)) if lam is None else lam
     for _ in range(rounds):
         share = expected_counts(slices, links, theta) / max(n, 1)
-        theta, path = maximise(links, share, theta, prior, lam, stop, kind)
+        theta, path = maximise(links, share, theta, prior, lam, stop, kind, **hooks)
         paths.append(path)
     return theta, paths
 
@@ -256,21 +312,18 @@ def infer(slices: DataFrame, links: np.ndarray, theta: np.ndarray, how: str, cen
     def run(frames):
         li, th, cen = sent.value
         tree = Tree(li)
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            nodes = np.array(pdf["nodes"].tolist(), np.int64)
-            if how == "sup":
-                uni = tree.marginals(th, nodes)[1]
-                states, pred = uni.argmax(axis=2), uni @ cen
-            else:
-                # the seed follows the vertices, so a retried task draws the same
-                rng = np.random.default_rng([seed, *(int(x) & 0xFFFFFFFF for x in pdf["v"].iloc[[0, -1]])])
-                states = tree.best(th, nodes) if how == "map" else tree.draw(th, nodes, rng)
-                pred = cen[states]
-            v, m = len(nodes), tree.n
-            yield pd.DataFrame({"v": np.repeat(pdf["v"].to_numpy(), m), "node": np.tile(np.arange(m), v), "state": states.ravel(), "pred": list(pred.reshape(v * m, -1))})
-
-    if how not in PREDICT:
-        raise RuntimeError(f"bad prediction {how!r}: one of {PREDICT}")
+        for whole in frames:
+            for a in range(0, len(whole), BLOCK):
+                pdf = whole.iloc[a : a + BLOCK]
+                nodes = np.array(pdf["nodes"].tolist(), np.int64)
+                if how == "sup":
+                    uni = tree.marginals(th, nodes, None)[1]
+                    states, pred = uni.argmax(axis=2), uni @ cen
+                else:
+                    states = tree.best(th, nodes) if how == "map" else tree.draw(th, nodes, gumbel(pdf["v"], tree.n, th.shape[1], seed))
+                    pred = cen[states]
+                v, m = len(nodes), tree.n
+                yield pd.DataFrame({"v": np.repeat(pdf["v"].to_numpy(), m), "node": np.tile(np.arange(m), v), "state": states.ravel(), "pred": list(pred.reshape(v * m, -1))})
+
+    how = find(how, PREDICT, "prediction")
     return slices.select("v", "nodes").mapInPandas(run, "v long, node int, state int, pred array<double>")

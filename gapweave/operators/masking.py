@@ -44,8 +44,8 @@ def _target(cells: DataFrame, amount: float) -> DataFrame:
     return F.broadcast(cells.where("observed").groupBy("fold").agg(F.floor(F.count("*") * F.lit(amount)).cast("long").alias("target")))
 
 
-def hide_latest(cells: DataFrame, amount: float) -> DataFrame:
-    """(fold, t, v): whole dates from the last one back, until the share is reached."""
+def hide_latest(cells: DataFrame, amount: float, seed: int = 0) -> DataFrame:
+    """(fold, t, v): whole dates from the last one back, until the share is reached; the seed plays no part."""
     by_t = cells.where("observed").groupBy("fold", "t").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("fold").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     dates = by_t.withColumn("before", before).join(_target(cells, amount), "fold").where("before < target").select("fold", "t")
@@ -84,6 +84,8 @@ def hide_shapes(cells: DataFrame, amount: float, shape: str, width: int, seed: i
     A candidate (its top left cell and date) is placed if the whole shape is observed, inside the fold and not
     yet hidden.  Shapes on different dates never touch, so each date is a task of its own; of all placements of
     a fold the first ones in order are kept, until the share is reached.  Fails if candidates run out before.
+    The walk over one date is one after another by definition: a task holds one image of one fold (some 60 bytes a
+    cell), however many dates and folds there are.
     """
     stamp = np.argwhere(template(width, shape))
     target = _target(cells, amount)
@@ -127,9 +129,12 @@ def hide_spatial_clouds(cells: DataFrame, amount: float, width: int = 5, seed: i
 HIDE = {f.__name__.removeprefix("hide_"): f for f in (hide_latest, hide_random, hide_random_spatials, hide_spatial_gaps, hide_spatial_clouds)}
 
 
-def hide(cells: DataFrame, method: str, amount: float, **options) -> DataFrame:
+def hide(cells: DataFrame, method: str, amount: float, dates: list[int] | None = None, **options) -> DataFrame:
+    """The gaps of a registered method; with ``dates`` only cells of these count as observed and are hidden."""
     if method.lower() not in HIDE:
         raise NotImplementedError(f"no hide method {method!r}; there are {sorted(HIDE)}")
+    if dates is not None:
+        cells = cells.withColumn("observed", F.col("observed") & F.col("t").isin(dates))
     return HIDE[method.lower()](cells, amount, **options)
 
 

@@ -52,11 +52,53 @@ def products(pred: DataFrame) -> DataFrame:
     )
 
 
+def outlined(pred: DataFrame, width: int, colour: list[float]) -> DataFrame:
+    """pred_outline and original_outline: prediction and data with the outlines of the hidden cells in one colour.
+
+    The outline are the cells of a date within ``width`` of a hidden cell that are not hidden.
+    """
+    edge = outline(pred.withColumn("mark", F.col("hidden")), width).withColumn("edge", F.lit(True))
+    flat = F.array(*[F.lit(float(c)) for c in colour])
+    marked = pred.join(edge, ["t", "x", "y"], "left")
+    on = F.coalesce("edge", F.lit(False))
+    return marked.select("t", "x", "y", "v", F.when(on, flat).when(F.col("hidden"), F.col("pred")).otherwise(F.col("bands")).alias("pred_outline"), F.when(on, flat).otherwise(F.col("bands")).alias("original_outline"))
+
+
+def outline_width(gap_width: int) -> int:
+    return max(gap_width // 20, 3)
+
+
+def outline_colour(low: float, high: float, bands: int, shown: tuple[int, ...]) -> list[float]:
+    """Grey in the bands that are shown, 0 in others."""
+    return [(high - low) // 2 if b in shown else 0.0 for b in range(bands)]
+
+
+def split_images(cells: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(fold, t, x, y, test, hidden): for each fold, over all cells, 0/255 pictures of its test area and of its hidden cells."""
+    folds = F.broadcast(cells.select("fold").distinct())
+    every = folds.crossJoin(cells.select("t", "v", "x", "y", F.col("fold").alias("own")))
+    gone = hidden.select("fold", "t", "v", F.lit(255).alias("gone"))
+    return every.join(gone, ["fold", "t", "v"], "left").select("fold", "t", "x", "y", F.when(F.col("own") == F.col("fold"), 255).otherwise(0).alias("test"), F.coalesce("gone", F.lit(0)).alias("hidden"))
+
+
+def save_pictures(pictures: DataFrame, folder: str, name: str) -> list[str]:
+    """Writes (t, png) as {name}_t000.png and so on in any folder that Spark can write; a picture for each date at a time."""
+    spark = pictures.sparkSession
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for r in pictures.orderBy("t").toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}_t{r.t:03d}.png")
+        stream = path.getFileSystem(conf).create(path, True)
+        stream.write(bytes(r.png))
+        stream.close()
+        out.append(path.toString())
+    return out
+
+
 def render_bw(images: DataFrame, value: str) -> DataFrame:
     """Grey levels 0..255 by date between its least and largest value; constant images are black."""
-    w = Window.partitionBy("t")
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return images.withColumn("grey", F.coalesce(F.floor(F.try_divide(F.col(value) - lo, hi - lo) * 255), F.lit(0)).cast("int"))
+    ends = F.broadcast(images.groupBy("t").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))  # a row for each date
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return images.join(ends, "t").withColumn("grey", F.coalesce(F.floor(F.try_divide(F.col(value) - lo, hi - lo) * 255), F.lit(0)).cast("int")).drop("_lo", "_hi")
 
 
 def render_rgb(images: DataFrame, bands: tuple[int, int, int], low: float, high: float) -> DataFrame:
@@ -88,12 +130,57 @@ def encode_png(images: DataFrame, level: str) -> DataFrame:
 
 
 def input_image(cells: DataFrame, order: str = "nearest") -> DataFrame:
-    """(t, v, t_in): the date that each gap cell is predicted from: nearest in time (or farthest) with the cell good."""
-    good = cells.where("good").select("v", F.col("t").alias("t_in"), F.col("day").alias("day_in"))
-    pairs = cells.where(~F.col("good")).select("t", "day", "v").join(good, "v")
-    near = F.abs(F.col("day") - F.col("day_in"))
-    w = Window.partitionBy("t", "v").orderBy(near if order == "nearest" else -near, "t_in")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("t", "v", "t_in")
+    """(t, v, t_in): the date that each gap cell is predicted from: nearest in time (or farthest) with the cell good.
+
+    One window by vertex: the nearest date is the last good one before or the first one after, the farthest the first or
+    last of all; ties go to the smaller t.
+    """
+    own = Window.partitionBy("v").orderBy("day", "t")
+    back, ahead, whole = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing), own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = F.when(F.col("good"), F.struct("day", "t"))
+    # of several good dates on one day the smallest t counts
+    ends = (F.last(seen, True).over(back), F.first(seen, True).over(ahead)) if order == "nearest" else (F.first(seen, True).over(whole), F.last(seen, True).over(whole))
+    both = cells.select("t", "day", "v", "good", ends[0].alias("p"), ends[1].alias("n")).where(~F.col("good"))
+    far = lambda c: F.abs(F.col("day") - F.col(f"{c}.day")) * (1 if order == "nearest" else -1)
+    pick = F.array_min(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(far(c).alias("far"), F.col(f"{c}.t").alias("t"))) for c in "pn"]), lambda x: x.isNotNull()))
+    return both.select("t", "v", pick["t"].alias("t_in")).where("t_in IS NOT NULL")
+
+
+def image_classes(cells: DataFrame, classes: int, rounds: int = 20) -> DataFrame:
+    """Adds class: k-means of the pixels of each date, with gap cells as zero vectors and negative values as zero.
+
+    All dates go through the same rounds together: assign each pixel to the nearest centre (the smaller number on ties),
+    then average by date and class.  Centres begin at spread-out quantiles of the mean over bands; they are dates x
+    classes rows, which the driver holds between rounds.  A centre without pixels stays where it is.
+    """
+    spark = cells.sparkSession
+    px = cells.withColumn("_z", F.when(F.col("good"), F.transform("bands", lambda b: F.greatest(b, F.lit(0.0)))).otherwise(F.transform("bands", lambda b: F.lit(0.0))))
+    depth = cells.select(F.size("bands").alias("d")).first()
+    if depth is None:
+        return cells.withColumn("class", F.lit(None).cast("int"))
+    level = F.aggregate("_z", F.lit(0.0), lambda s, b: s + b)
+    marks = [(2 * i + 1) / (2 * classes) for i in range(classes)]
+    at = px.select("t", "_z", level.alias("_l")).groupBy("t").agg(*[F.percentile_approx("_l", F.lit(m)).alias(f"_q{i}") for i, m in enumerate(marks)], F.avg("_l").alias("_a"), *[F.avg(F.get("_z", F.lit(d))).alias(f"_b{d}") for d in range(depth.d)])
+    centres = {}
+    for r in at.collect():  # a row for each date
+        base = [r[f"_b{d}"] or 0.0 for d in range(depth.d)]
+        centres[r.t] = [[b * (r[f"_q{i}"] / r["_a"]) if r["_a"] else 0.0 for b in base] for i in range(classes)]
+
+    def labelled(now):
+        table = spark.createDataFrame(list(now.items()), "t int, _c array<array<double>>")
+        near = F.array_min(F.transform("_c", lambda c, i: F.struct(F.aggregate(F.zip_with("_z", c, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d).alias("d"), i.alias("i"))))
+        return px.join(F.broadcast(table), "t").withColumn("class", near["i"].cast("int")).drop("_c")
+
+    for _ in range(rounds):
+        means = labelled(centres).groupBy("t", "class").agg(*[F.avg(F.get("_z", F.lit(d))).alias(f"_b{d}") for d in range(depth.d)]).collect()
+        new = {t: [list(c) for c in cs] for t, cs in centres.items()}
+        for r in means:
+            new[r.t][r["class"]] = [r[f"_b{d}"] for d in range(depth.d)]
+        still = all(abs(x - y) <= 1e-9 * max(1.0, abs(x)) for t in new for c, e in zip(new[t], centres[t]) for x, y in zip(c, e))
+        centres = new
+        if still:
+            break
+    return labelled(centres).drop("_z")
 
 
 def similar_pixels(cells: DataFrame, targets: DataFrame, reach: int, m: int) -> DataFrame:
@@ -126,16 +213,21 @@ def similar_pixels(cells: DataFrame, targets: DataFrame, reach: int, m: int) ->
 def similar_fill(cells: DataFrame, classes: int = 4, min_similar: int = 30, low: float = 0.0, high: float = 10000.0, order: str = "nearest") -> DataFrame:
     """Neighbourhood-similarity filling with an adaptive window: (t, v, pred) for every gap cell that some date can serve.
 
-    ``cells``: t, day, x, y, v, bands, good.  Each group holds two images: the one to fill and its input.  The
-    half window grows by binary search until it has 2 to 3 times ``min_similar`` cells of the same class good in
-    both; fewer than 3 in the largest window fall back to interpolation in time.  A class is the quantile
-    bin of the input image's first band.
+    ``cells``: t, day, x, y, v, bands, good.  The half window grows by binary search until it has 2 to 3 times
+    ``min_similar`` cells of the same class good in both; fewer than 3 in the largest window fall back to interpolation
+    in time.  Classes are those of ``image_classes`` in the input image, one more than ``classes``.  Windows are counted
+    by integral images, one for each class, so a gap cell costs a few look-ups and the cells of its own window.
+
+    Each group holds two images, the one to fill and its input: the largest window is a quarter of the image to each
+    side, so smaller tiles would hold most of it too.  An image of a million cells takes some 100 MB in its task.
     """
+    cells = cells.select("t", "day", "x", "y", "v", "bands", "good")
     serve = input_image(cells, order)
+    cells = image_classes(cells, classes + 1)
     pairs = serve.select("t", "t_in").distinct()
-    target = pairs.join(cells.select("t", "day", "x", "y", "v", "bands", "good"), "t").withColumn("side", F.lit(0))
-    source = pairs.join(cells.select(F.col("t").alias("t_in"), "day", "x", "y", "v", "bands", "good"), "t_in").withColumn("side", F.lit(1)).select(*target.columns)
-    picks = pairs.join(serve, ["t", "t_in"]).join(cells.select("t", "v", "day", "x", "y", "bands"), ["t", "v"]).withColumn("good", F.lit(False)).withColumn("side", F.lit(2)).select(*target.columns)
+    target = pairs.join(cells.select("t", "day", "x", "y", "v", "bands", "good", "class"), "t").withColumn("side", F.lit(0))
+    source = pairs.join(cells.select(F.col("t").alias("t_in"), "day", "x", "y", "v", "bands", "good", "class"), "t_in").withColumn("side", F.lit(1)).select(*target.columns)
+    picks = pairs.join(serve, ["t", "t_in"]).join(cells.select("t", "v", "day", "x", "y", "bands", "class"), ["t", "v"]).withColumn("good", F.lit(False)).withColumn("side", F.lit(2)).select(*target.columns)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, c = (pdf[pdf["side"] == s] for s in (0, 1, 2))
@@ -145,20 +237,22 @@ def similar_fill(cells: DataFrame, classes: int = 4, min_similar: int = 30, low:
             img[k, part["x"], part["y"]] = np.array(part["bands"].tolist())
             ok[k, part["x"], part["y"]] = part["good"].to_numpy()
         both = ok[0] & ok[1]
-        level = img[1, :, :, 0]
-        edges = np.quantile(level[ok[1]], np.linspace(0, 1, classes + 1)[1:-1]) if ok[1].any() else []
-        cls = np.searchsorted(edges, level)
+        cls = np.zeros((w, h), np.int64)
+        cls[b["x"], b["y"]] = b["class"].to_numpy()
         top = max(1, round(0.25 * max(w, h)))
+        same = [both & (cls == k) for k in range(classes + 1)]
+        total = [np.pad(m.cumsum(0, dtype=np.int64).cumsum(1), ((1, 0), (1, 0))) for m in same]
         out = []
         for x, y, v in zip(c["x"], c["y"], c["v"]):
-            same = both & (cls == cls[x, y])
+            k = cls[x, y]
             lo, hi = 1, top
             while lo < hi:
                 mid = (lo + hi) // 2
-                n = np.count_nonzero(same[max(0, x - mid) : x + mid + 1, max(0, y - mid) : y + mid + 1])
+                x0, x1, y0, y1 = max(0, x - mid), min(w, x + mid + 1), max(0, y - mid), min(h, y + mid + 1)
+                n = total[k][x1, y1] - total[k][x0, y1] - total[k][x1, y0] + total[k][x0, y0]
                 lo, hi = (mid + 1, hi) if n < 2 * min_similar else (lo, mid)
             x0, y0 = max(0, x - lo), max(0, y - lo)
-            gx, gy = np.nonzero(same[x0 : x + lo + 1, y0 : y + lo + 1])
+            gx, gy = np.nonzero(same[k][x0 : x + lo + 1, y0 : y + lo + 1])
             gx, gy = gx + x0, gy + y0
             if len(gx) < 3:
                 continue

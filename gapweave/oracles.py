@@ -19,10 +19,15 @@ cube AS (SELECT t, t + 1 AS dd, CAST(gx.x AS INTEGER) AS x, CAST(gy.y AS INTEGER
   FROM years CROSS JOIN (SELECT unnest(range(50)) AS x) gx CROSS JOIN (SELECT unnest(range(25)) AS y) gy LEFT JOIN sold s ON s.yr = years.yr AND s.x = gx.x AND s.y = gy.y),
 folds AS (SELECT *, CAST(((v + 1) * 2 - 1) // 1250 AS INTEGER) AS fold FROM cube)"""
 
-_HASH = "((({0}) % 1000003) * 48271 + 12345) % 2147483647"
+
+
+def _hash(of: str, seed: int = 0) -> str:
+    return f"((({of}) % 1000003) * {48271 + 194 * seed} + {(12345 + 1566083941 * seed) % 2147483647}) % 2147483647"
+
+
 TARGETS = "targets AS (SELECT fold, CAST(floor(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS target FROM folds WHERE observed GROUP BY fold)"
 HID = f"""{TARGETS},
-hid AS (SELECT fold, t, v FROM (SELECT f.fold, t, v, target, row_number() OVER (PARTITION BY f.fold ORDER BY {_HASH.format('v * 7919 + t * 104729')}, v, t) AS r FROM folds f JOIN targets g ON f.fold = g.fold WHERE observed) WHERE r <= target)"""
+hid AS (SELECT fold, t, v FROM (SELECT f.fold, t, v, target, row_number() OVER (PARTITION BY f.fold ORDER BY {_hash('v * 7919 + t * 104729')}, v, t) AS r FROM folds f JOIN targets g ON f.fold = g.fold WHERE observed) WHERE r <= target)"""
 MASKED = f"""{CUBE}, {HID},
 masked AS (SELECT f.*, h.v IS NOT NULL AS hidden, observed AND h.v IS NULL AS seen FROM folds f LEFT JOIN hid h ON f.fold = h.fold AND f.t = h.t AND f.v = h.v)"""
 
@@ -40,9 +45,22 @@ LONG = """
 long AS (SELECT fold, t, dd, v, x, y, observed, hidden, 0 AS band, b0 AS val, CASE WHEN seen THEN b0 END AS sv FROM masked
   UNION ALL SELECT fold, t, dd, v, x, y, observed, hidden, 1, b1, CASE WHEN seen THEN b1 END FROM masked
   UNION ALL SELECT fold, t, dd, v, x, y, observed, hidden, 2, b2, CASE WHEN seen THEN b2 END FROM masked)"""
-PRED = f"""{MASKED}, {LONG},
-pred AS {_linear('long', 'fold, v, band', 'dd', 'sv', 'fold, t, v, x, y, observed, hidden, band, val')}"""
-ERR = f"{PRED}, e AS (SELECT fold, t, v, band, val AS y, filled AS p FROM pred WHERE hidden)"
+
+
+def _nearest(source: str, key: str, time: str, value: str, keep: str) -> str:
+    """Filling of ``value`` with the nearest one in time, the earlier one on ties."""
+    later = f"dp IS NULL OR (dn IS NOT NULL AND {time} - dp > dn - {time})"
+    return f"(SELECT {keep}, {value}, coalesce({value}, CASE WHEN {later} THEN vn ELSE vp END, 0) AS filled FROM {_linear(source, key, time, value, keep)})"
+
+
+def _pred(filled: str) -> str:
+    return f"""{MASKED}, {LONG},
+pred AS {filled}"""
+
+
+PRED = _pred(_linear("long", "fold, v, band", "dd", "sv", "fold, t, v, x, y, observed, hidden, band, val"))
+_E = "e AS (SELECT fold, t, v, band, val AS y, filled AS p FROM pred WHERE hidden)"
+ERR = f"{PRED}, {_E}"
 _MAE = "round(avg(abs(p - y)), {0})"
 _RMSE = "round(sqrt(avg((p - y) * (p - y))), {0})"
 
@@ -70,8 +88,11 @@ def _ssim(source: str, keys: str) -> str:
   WHERE nx = 7 AND ny = 7) GROUP BY {keys})"""
 
 
-REPORT = f"""{ERR},
-box AS (SELECT fold, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM folds GROUP BY fold),
+def _report(filled: str) -> str:
+    return f"""{_pred(filled)}, {_E}, {_REST}"""
+
+
+_REST = f"""box AS (SELECT fold, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM folds GROUP BY fold),
 dense AS (SELECT b.fold, tt.t, bb.band, gx.x, gy.y, coalesce(p.val, 0) AS a, coalesce(CASE WHEN p.hidden THEN p.filled ELSE p.val END, 0) AS b FROM box b CROSS JOIN (SELECT DISTINCT t FROM cube) tt CROSS JOIN (SELECT unnest(range(3)) AS band) bb
   JOIN (SELECT unnest(range(50)) AS x) gx ON gx.x BETWEEN b.x0 AND b.x1 JOIN (SELECT unnest(range(25)) AS y) gy ON gy.y BETWEEN b.y0 AND b.y1
   LEFT JOIN pred p ON p.fold = b.fold AND p.t = tt.t AND p.band = bb.band AND p.x = gx.x AND p.y = gy.y),
@@ -88,7 +109,8 @@ report AS (
   SELECT x.fold, 'all', size - hid - miss, miss, hid, coalesce(mae, 0), coalesce(rmse, 0), coalesce(r2, 0), coalesce(ssim, 0) FROM (
     SELECT fold, CAST(sum(size) AS BIGINT) AS size, CAST(sum(CASE WHEN hid > 0 THEN miss ELSE 0 END) AS BIGINT) AS miss, CAST(sum(hid) AS BIGINT) AS hid, avg(CASE WHEN hid > 0 THEN ssim END) AS ssim FROM byt GROUP BY fold) x
   LEFT JOIN sa ON sa.fold = x.fold LEFT JOIN ra ON ra.fold = x.fold)"""
-_VERSIONS = "(VALUES ('LIN', 1), ('MRF_0_01r_chain-l2-l2_l0_1_map_em2_K8_random', 2), ('MRF_0_01r_chain-l2-l2_l0_5_map_em2_K8_random', 3)) AS n(version, times)"
+REPORT = f"{ERR}, {_REST}"
+_VERSIONS = "(VALUES ('LIN_random0_2', 1), ('MRF_S0_01_l2_l2_0_1_chain_map_em2_8Means_random0_2', 2), ('MRF_S0_01_l2_l2_0_5_chain_map_em2_8Means_random0_2', 3)) AS n(version, times)"
 _SCORES = ("mae", "rmse", "r2", "ssim")
 
 
@@ -139,10 +161,10 @@ SELECT a.user_id, a.dno, round(a.v, 4) AS v, round(coalesce(a.v, CASE WHEN n < 3
     "fold_assignment": f"WITH {CUBE} SELECT t, v, fold FROM folds",
     "fold_sizes": f"WITH {CUBE} SELECT fold, count(DISTINCT v) AS vertices, count(*) AS cells FROM folds GROUP BY fold",
     "train_complement": f"WITH {CUBE} SELECT t, v FROM folds WHERE fold <> 0",
-    "order_hash": f"WITH {CUBE} SELECT t, v, {_HASH.format('v * 7919 + t * 104729')} AS h FROM folds",
+    "order_hash": f"WITH {CUBE} SELECT t, v, {_hash('v * 7919 + t * 104729')} AS h FROM folds",
     "hide_latest": f"WITH {CUBE}, {TARGETS}, n AS (SELECT fold, t, {_RUN.format('t DESC')} AS b FROM (SELECT fold, t, count(*) AS n FROM folds WHERE observed GROUP BY fold, t)) SELECT f.fold, f.t, f.v FROM folds f JOIN n ON n.fold = f.fold AND n.t = f.t JOIN targets g ON g.fold = f.fold WHERE observed AND b < target",
     "hide_random": f"WITH {CUBE}, {HID} SELECT fold, t, v FROM hid",
-    "hide_random_spatials": f"WITH {CUBE}, {TARGETS}, n AS (SELECT fold, v, {_RUN.format(_HASH.format('v * 7919') + ', v')} AS b FROM (SELECT fold, v, count(*) AS n FROM folds WHERE observed GROUP BY fold, v)) SELECT f.fold, f.t, f.v FROM folds f JOIN n ON n.fold = f.fold AND n.v = f.v JOIN targets g ON g.fold = f.fold WHERE observed AND b < target",
+    "hide_random_spatials": f"WITH {CUBE}, {TARGETS}, n AS (SELECT fold, v, {_RUN.format(_hash('v * 7919') + ', v')} AS b FROM (SELECT fold, v, count(*) AS n FROM folds WHERE observed GROUP BY fold, v)) SELECT f.fold, f.t, f.v FROM folds f JOIN n ON n.fold = f.fold AND n.v = f.v JOIN targets g ON g.fold = f.fold WHERE observed AND b < target",
     "masked_view": f"WITH {MASKED} SELECT fold, t, v, observed, hidden, " + ", ".join(f"CASE WHEN seen THEN round(b{i}, 6) END AS b{i}" for i in range(3)) + " FROM masked",
     "metrics_by_time": f"WITH {ERR} SELECT fold, t, count(DISTINCT v) AS n_cells, {_MAE.format(4)} AS mae, {_RMSE.format(4)} AS rmse FROM e GROUP BY fold, t",
     "metrics_total": f"WITH {ERR} SELECT fold, count(DISTINCT t * 10000 + v) AS n_cells, {_MAE.format(4)} AS mae, {_RMSE.format(4)} AS rmse FROM e GROUP BY fold",
@@ -153,13 +175,20 @@ SELECT a.user_id, a.dno, round(a.v, 4) AS v, round(coalesce(a.v, CASE WHEN n < 3
     "cv_report": f"WITH {CV} SELECT * FROM cv",
     "comparison_report": f"WITH {CV} SELECT * EXCLUDE (t) FROM cv WHERE t = 'all'",
     "cumulative_error": f"WITH {CV} SELECT version, CAST(t AS INTEGER) AS t, round(sum(mae) OVER (PARTITION BY version ORDER BY CAST(t AS INTEGER)) / sum(mae) OVER (PARTITION BY version) * total, 3) AS error FROM cv JOIN (SELECT version, mae AS total FROM cv WHERE t = 'all') USING (version) WHERE t <> 'all' AND mae <> 0",
-    "error_by_lambda": f"WITH {CV} SELECT '0_01r,chain,l2,l2,map,2,8,random' AS series, CASE WHEN version LIKE '%l0_1%' THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS lam, mae AS error FROM cv WHERE t = 'all' AND version LIKE 'MRF%' UNION ALL SELECT version, CAST(unnest([0.1, 0.5]) AS DOUBLE), mae FROM cv WHERE t = 'all' AND version = 'LIN'",
+    "error_by_lambda": f"WITH {CV} SELECT '0.01,chain,l2,l2,map,2,8,random0_2' AS series, CASE WHEN version LIKE '%l2\\_0\\_1%' ESCAPE '\\' THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS lam, mae AS error FROM cv WHERE t = 'all' AND version LIKE 'MRF%' UNION ALL SELECT version, CAST(unnest([0.1, 0.5]) AS DOUBLE), mae FROM cv WHERE t = 'all' AND version LIKE 'LIN%'",
     "coverage_unpivot": f"WITH {CV} SELECT version, t, kind, n FROM (SELECT version, t, obs, miss, hid FROM cv WHERE t <> 'all') UNPIVOT (n FOR kind IN (obs, miss, hid))",
     "subrange": f"WITH {CUBE} SELECT t, x - 10 AS x, y - 5 AS y, CAST((x - 10) * 20 + y - 5 AS BIGINT) AS v, observed, round(b0, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2 FROM cube WHERE x >= 10 AND x < 30 AND y >= 5 AND y < 25",
     "date_check": "SELECT true AS ok",
     "neighbour_cross3": f"WITH {CUBE}, o(s, dx, dy) AS (VALUES (0, -1, 0), (1, 0, -1), (2, 0, 0), (3, 0, 1), (4, 1, 0)) SELECT a.t, a.v, s, coalesce(b.observed, false) AS observed, round(b.b0, 6) AS b0 FROM cube a CROSS JOIN o LEFT JOIN cube b ON b.t = a.t AND b.x = a.x + dx AND b.y = a.y + dy",
     "outline_dilation": f"WITH {CUBE} SELECT DISTINCT a.t, a.x, a.y FROM cube a JOIN cube b ON a.t = b.t AND NOT b.observed AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 WHERE a.observed",
-    "error_image": f"WITH {PRED} SELECT t, v, round(CASE WHEN any_value(observed) THEN sum(abs(filled - val)) / 3 ELSE 0 END, 2) AS error FROM pred GROUP BY t, v",
+    "error_image": f"WITH {PRED} SELECT t, v, floor(CASE WHEN any_value(observed) THEN (max(abs(filled - val)) FILTER (band = 0) + max(abs(filled - val)) FILTER (band = 1) + max(abs(filled - val)) FILTER (band = 2)) / 3 ELSE 0 END * 100 + 0.5) / 100 AS error FROM pred GROUP BY t, v",
+    "outline_products": f"WITH {PRED}, edge AS (SELECT DISTINCT a.t, a.v FROM masked a JOIN masked b ON a.t = b.t AND b.hidden AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE NOT a.hidden), p AS (SELECT p.*, e.v IS NOT NULL AS at_edge FROM pred p LEFT JOIN edge e ON e.t = p.t AND e.v = p.v) SELECT t, v, "
+    + ", ".join(f"round(max(CASE WHEN at_edge THEN {0 if b == 1 else 1500} {hid}ELSE val END) FILTER (band = {b}), 6) AS {n}_outline_{b}" for n, hid in (("pred", "WHEN hidden THEN filled "), ("original", "")) for b in range(3))
+    + " FROM p GROUP BY t, v",
+    "split_images": f"WITH {CUBE}, {HID} SELECT CAST(g.fold AS INTEGER) AS fold, f.t, f.x, f.y, CASE WHEN f.fold = g.fold THEN 255 ELSE 0 END AS test, CASE WHEN h.v IS NOT NULL THEN 255 ELSE 0 END AS hidden FROM folds f CROSS JOIN (SELECT DISTINCT fold FROM folds) g LEFT JOIN hid h ON h.fold = g.fold AND h.t = f.t AND h.v = f.v",
+    "hide_one_date": f"WITH {CUBE}, one AS (SELECT *, count(*) OVER (PARTITION BY fold) AS n, row_number() OVER (PARTITION BY fold ORDER BY {_hash('v * 7919 + t * 104729', 3)}, v, t) AS r FROM folds WHERE observed AND t = 1) SELECT fold, t, v FROM one WHERE r <= floor(n * CAST(0.2 AS DOUBLE))",
+    "shuffled_folds": f"WITH {CUBE}, o AS (SELECT v, row_number() OVER (ORDER BY {_hash('v * 7919', 5)}, v) - 1 AS r FROM (SELECT DISTINCT v FROM cube)) SELECT v, CAST(((r + 1) * 2 - 1) // 1250 AS INTEGER) AS fold FROM o",
+    "cross_validation": f"WITH {_report(_nearest('long', 'fold, v, band', 'dd', 'sv', 'fold, t, v, x, y, observed, hidden, band, val'))}, reports AS (SELECT 'NN' AS version, fold, t, obs, miss, hid, mae, rmse, r2 FROM report) SELECT version, t, CAST(sum(obs) AS BIGINT) AS obs, CAST(sum(miss) AS BIGINT) AS miss, CAST(sum(hid) AS BIGINT) AS hid, {', '.join(f'round({_weighted(c)}, 3) AS {c}' for c in _SCORES[:3])} FROM reports GROUP BY version, t",
     "fill_only_gaps": f"WITH {PRED} {_wide('CASE WHEN observed THEN val ELSE filled END', 'pred', 't, v')}",
     "prediction_store": f"WITH {PRED} {_wide('CASE WHEN hidden THEN filled ELSE val END', 'pred', 't, v')}",
     "render_bw": f"WITH {CUBE} SELECT t, v, {_GREY} AS grey FROM (SELECT *, min(q) OVER (PARTITION BY t) AS lo, max(q) OVER (PARTITION BY t) AS hi FROM (SELECT t, v, round(b0, 2) AS q FROM cube))",
@@ -173,6 +202,11 @@ s AS (SELECT s0, s1, coalesce(1 - (d - min(d) OVER ()) / nullif(max(d) OVER () -
 SELECT s0, s1, CASE WHEN sim > 0 THEN round(ln(sim / total), 4) END AS logsim FROM (SELECT *, sum(sim) OVER (PARTITION BY s0) AS total FROM s)""",
     "transition_prior_temporal": f"WITH {STATES} {_transitions('SELECT state AS s0, lead(state) OVER (PARTITION BY v ORDER BY t) AS s1 FROM st')}",
     "transition_prior_spatial": f"WITH {STATES} {_transitions('SELECT a.state AS s0, b.state AS s1 FROM st a JOIN st b ON a.t = b.t AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1))')}",
+    "slice_priors": f"""WITH {STATES}, near AS (SELECT a.v, a.t, o.s, b.state FROM st a CROSS JOIN (VALUES (0, -1, 0), (1, 0, -1), (2, 0, 0), (3, 0, 1), (4, 1, 0)) AS o(s, dx, dy) LEFT JOIN st b ON b.t = a.t AND b.x = a.x + o.dx AND b.y = a.y + o.dy),
+pairs AS (SELECT 0 AS kind, a.state AS s0, b.state AS s1 FROM near a JOIN near b ON a.v = b.v AND a.s = b.s AND b.t = a.t + 1 UNION ALL SELECT 1, a.state, b.state FROM near a JOIN near b ON a.v = b.v AND a.t = b.t AND a.s < b.s AND (a.s = 2 OR b.s = 2))
+SELECT CAST(kind AS INTEGER) AS kind, s0, s1, n, round(ln(n / sum(n) OVER (PARTITION BY kind, s0)), 6) AS logp FROM (
+  SELECT k.kind, a.s AS s0, b.s AS s1, CAST(count(p.s0) + 1 AS BIGINT) AS n FROM (VALUES (0), (1)) AS k(kind) CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS s) a CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS s) b
+  LEFT JOIN (SELECT * FROM pairs WHERE s0 IS NOT NULL AND s1 IS NOT NULL) p ON p.kind = k.kind AND p.s0 = a.s AND p.s1 = b.s GROUP BY ALL)""",
     "edges_chain": "SELECT CAST(i AS INTEGER) AS e, CAST(i AS INTEGER) AS u, CAST(i + 1 AS INTEGER) AS w, 'time' AS kind FROM (SELECT unnest(range(6)) AS i)",
     "edges_cross": "SELECT CAST(i AS INTEGER) AS e, CAST(i * 5 + 2 AS INTEGER) AS u, CAST(i * 5 + 7 AS INTEGER) AS w, 'time' AS kind FROM (SELECT unnest(range(6)) AS i) UNION ALL SELECT CAST(6 + t * 4 + s - CASE WHEN s > 2 THEN 1 ELSE 0 END AS INTEGER), CAST(t * 5 + 2 AS INTEGER), CAST(t * 5 + s AS INTEGER), 'space' FROM (SELECT unnest(range(7)) AS t) CROSS JOIN (SELECT unnest([0, 1, 3, 4]) AS s)",
     "adaptive_lambda": f"WITH {STATES} SELECT CAST(a.t AS INTEGER) AS e, round(CAST(0.1 AS DOUBLE) * avg(CAST(a.state IS NULL OR b.state IS NULL AS INTEGER)), 6) AS lam FROM st a JOIN st b ON a.v = b.v AND b.t = a.t + 1 GROUP BY a.t",
@@ -187,7 +221,7 @@ SELECT t, v, count(*) AS n, """ + ", ".join(f"round((avg(change) * (sum(w * n{i}
     "board": """SELECT t, x, y, t <> 1 AS observed, """ + ", ".join(
         f"CASE WHEN greatest(x, y) < 16 OR least(x, y) >= 48 THEN CAST({0 if b == 1 else 127.5} AS DOUBLE) WHEN x BETWEEN 16 AND 47 AND y BETWEEN 16 AND 47 THEN CASE WHEN {'t IN (0, 2)' if b == 0 else 't = 1' if b == 1 else 't = 3'} THEN CAST(255 AS DOUBLE) ELSE 0 END ELSE CAST(CASE WHEN (x // 16 + y // 16 + t) % 2 = 0 THEN 255 ELSE 0 END AS DOUBLE) END AS b{b}" for b in range(3)
     ) + " FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS t) CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS x) CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS y)",
-    "report_name_parse": "SELECT * FROM (VALUES ('MRF_0_01r_chain-l2-tp_l0_1_map_em5_K32_spatial_clouds', '0_01r', 'chain', 'l2', 'tp', CAST(0.1 AS DOUBLE), 'map', 5, 32, 'spatial_clouds'), ('MRF_10t_cross3-es-tp_l0_5_sup_em2_K8_random', '10t', 'cross3', 'es', 'tp', CAST(0.5 AS DOUBLE), 'sup', 2, 8, 'random'), ('LIN_random', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) AS n(name, stop, shape, tprior, sprior, lam, predict, em, k, hide)",
+    "report_name_parse": "SELECT * FROM (VALUES ('MRF_S0_01_l2_tp_0_1_cross3_map_em2_32Means_spatial_clouds0_2', CAST(0.01 AS DOUBLE), 'l2', 'tp', CAST(0.1 AS DOUBLE), 'cross3', 'map', 2, 32, 'spatial_clouds0_2'), ('MRF_S10_es_tp_0_5_cross3_sup_em2_8Means_random0_5', 10, 'es', 'tp', 0.5, 'cross3', 'sup', 2, 8, 'random0_5'), ('mrf_s0_01_tp_tp_0_1_cross3_sup_em5_32means_spatial_clouds0_2', 0.01, 'tp', 'tp', 0.1, 'cross3', 'sup', 5, 32, 'spatial_clouds0_2'), ('LIN_random0_2', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) AS n(name, stop, tprior, sprior, lam, shape, predict, em, k, hide)",
     "day_labels": "SELECT n AS dno, strftime(DATE '2018-01-01' + CAST(n - 1 AS INTEGER), '%b %d %Y') AS label, CASE WHEN n % 2 = 0 THEN 'n.a. ' ELSE printf('%4.1f', CAST(1.25 AS DOUBLE)) END AS error, (CAST(n AS DOUBLE) - 1) * 255 / 364 AS scaled FROM (SELECT unnest(range(1, 366, 13)) AS n)",
 }
 SQL["day_labels"] = SQL["day_labels"].replace("printf('%4.1f', CAST(1.25 AS DOUBLE))", "' 1.3'")

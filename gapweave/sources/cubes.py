@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_mean, vertex
 
-CUBE = "t int, day int, x int, y int, v long, bands array<double>, observed boolean"
+CUBE = "t int, day int, x int, y int, v bigint, bands array<double>, observed boolean"
 
 
 def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,17 +85,74 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", F.regexp_extract("path", r"_t(\d+)\.png$", 1).cast("int").alias("t"), "content")
 
 
-REGISTRY = {"board2": lambda spark, _: board(spark, lost_date=1), "board": lambda spark, _: board(spark), "lineitem": lineitem_cube}
+class Source(NamedTuple):
+    """A registered cube: how it is made from a path, and what belongs to it."""
+
+    make: Callable[[SparkSession, str | None], DataFrame]
+    low: float = 0.0
+    high: float = 255.0
+    gap_width: int = 32
+    shown: tuple[int, ...] = (0, 1, 2)
+    #: Dates that may get artificial gaps; all if none are named.
+    hide_dates: list[int] | None = None
+
+
+def _csv(spark: SparkSession, path: str | None) -> DataFrame:
+    """folder, or folder:width,height,dates,bands."""
+    if not path:
+        raise ValueError("a CSV cube needs the path of its folder")
+    folder, _, shape = path.rpartition(":") if re.search(r":\d+(,\d+){3}$", path) else (path, "", "1000,1000,21,3")
+    return csv_cube(spark, folder, *map(int, shape.split(",")))
 
 
-def get_cube(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
-    """The first registered source whose name stands in ``name``; a folder with mask.csv takes csv_cube()."""
-    for key, make in REGISTRY.items():
-        if key in name:
-            return make(spark, path)
+#: By name, in the order in which they are looked for.
+REGISTRY = {
+    "board2": Source(lambda spark, _: board(spark, lost_date=1), hide_dates=[1]),
+    "board": Source(lambda spark, _: board(spark), hide_dates=[1]),
+    "csv": Source(_csv, 0.0, 3000.0, 70),
+    "lineitem": Source(lineitem_cube),
+}
+
+
+def get_source(name: str) -> Source:
+    """The first registered source whose name stands in ``name``."""
+    for key, source in REGISTRY.items():
+        if key in name.lower():
+            return source
     raise NotImplementedError(f"no source for {name!r}; there are {sorted(REGISTRY)}")
 
 
+def get_cube(spark: SparkSession, name: str, path: str | None = None, cache: str | None = None) -> DataFrame:
+    """The cube of the first registered source whose name stands in ``name``, checked.
+
+    ``name`` may be "source:path" in place of a path of its own.  With ``cache`` the parsed cube is kept there as
+    Parquet, and read from there the next time.
+    """
+    if path is None and ":" in name:
+        name, path = name.split(":", 1)
+    source = get_source(name)
+    if cache:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
+        if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            source.make(spark, path).write.mode("overwrite").parquet(cache)
+        return check_cube(spark.read.parquet(cache))
+    return check_cube(source.make(spark, path))
+
+
+def check_cube(cube: DataFrame) -> DataFrame:
+    """The cube, if its columns are right, each (t, v) stands once, and all band arrays are equally long and full."""
+    kinds = dict(cube.dtypes)
+    want = dict(x.split(" ", 1) for x in CUBE.split(", "))
+    if wrong := sorted(c for c, k in want.items() if kinds.get(c) != k):
+        raise ValueError(f"a cube has the columns {CUBE}; not so: {wrong}")
+    r = cube.agg(F.count("*").alias("n"), F.count_distinct("t").alias("t"), F.count_distinct("v").alias("v"), F.min(F.size("bands")).alias("a"), F.max(F.size("bands")).alias("b"), F.count_if(F.exists("bands", lambda x: x.isNull()) | F.col("bands").isNull() | F.col("observed").isNull()).alias("holes")).first()
+    if r.n != r.t * r.v or r.a != r.b or r.holes:
+        raise ValueError(f"a cube holds every vertex once on every date, with full bands: {r.n} cells, {r.t} dates, {r.v} vertices, bands of {r.a} to {r.b}, {r.holes} cells with nulls")
+    if not check_dates(cube).first().ok:
+        raise ValueError("days must be unique and rise with t")
+    return cube
+
+
 def check_dates(cube: DataFrame) -> DataFrame:
     """One row: whether days are unique and rise with t."""
     days = cube.groupBy("t").agg(F.min("day").alias("day"), F.max("day").alias("last"))
