@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import partitions
+from .common import partitions, tidy
 
 #: A piece with more symbols than this is encoded by halves.
 LEAF = 256
@@ -32,8 +33,9 @@ LEAF = 256
 LONG_TEXT = 1 << 20
 #: Symbols of one dealt segment.
 SEGMENT = 1 << 16
-#: Words remembered per Python worker.
-REMEMBER = 400_000
+#: Characters of words, ids and tokens remembered while a task runs, with ENTRY for what a word takes beside them.
+REMEMBER = 24 << 20
+ENTRY = 360
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split() takes these as white space, the pattern does not
@@ -54,16 +56,21 @@ class _Words(dict):
     """word -> (ids, tokens), each joined by one space; unseen words are encoded, long ones not kept."""
 
     def __init__(self, encode) -> None:
-        self.encode = encode
+        self.encode, self.size = encode, 0
 
     def __missing__(self, word: str) -> tuple[str, str]:
         out = self.encode(word)
         if len(word) < 64:
-            if len(self) >= REMEMBER:
+            if self.size >= REMEMBER:
                 self.clear()
+            self.size += len(word) + len(out[0]) + len(out[1]) + ENTRY
             self[word] = out
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
 
 class Vocabulary:
     """Ranks, ids and tokens of one vocabulary file of the ``tokenizers`` format."""
@@ -79,9 +86,7 @@ class Vocabulary:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        #: (left id, right id) -> (rank, merged id)
-        self.merges = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.path = path
         signs = _byte_symbols()
         self.inner = [self.ids[s] for s in signs]
         self.last = [self.ids[s + self.end] for s in signs]
@@ -90,6 +95,13 @@ class Vocabulary:
         self.model = Tokenizer.from_file(path).model
         self.words = _Words(self.word)
 
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left id, right id) -> (rank, merged id); only pieces of more than LEAF symbols and long texts need it."""
+        with open(self.path, encoding="utf-8") as f:
+            pairs = [m if isinstance(m, list) else m.split(" ") for m in json.load(f)["model"]["merges"]]
+        return {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(pairs)}
+
     # -- pieces ---------------------------------------------------------------------------------
     def symbols(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -240,10 +252,13 @@ _SHAPES = {"digest": (_digest, "doc_id long, n_tokens long, ids_sha256 string, d
 def _short(path: str, shape):
     def run(batches):
         vocab = vocabulary(path)
-        for b in batches:
-            docs = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for k in range(0, len(docs), 512):
-                yield shape([(d, *vocab.encode(t or "")) for d, t in docs[k : k + 512]])
+        try:
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    part = b.slice(k, 256)
+                    yield shape([(d, *vocab.encode(t or "")) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())])
+        finally:
+            vocab.words.clear()  # the worker lives on
 
     return run
 
@@ -363,12 +378,12 @@ def encode(docs: DataFrame, path: str, output: str = "lists", long_text: int = L
     spark = docs.sparkSession
     shape, schema = _SHAPES[output]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = base.where(F.char_length("text") <= long_text).mapInArrow(_short(path, shape), schema)
+    short = base.where(F.char_length("text") <= long_text).mapInArrow(tidy(_short(path, shape)), schema)
     long = base.where(F.char_length("text") > long_text).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    parts = long.mapInArrow(_segments(path), _SEG).repartition(partitions(spark), "doc_id", "row", "seg").mapInArrow(_encode_segments(path), _SEG)
+    parts = long.mapInArrow(tidy(_segments(path)), _SEG).repartition(partitions(spark), "doc_id", "row", "seg").mapInArrow(tidy(_encode_segments(path)), _SEG)
     # a long text always has at least one segment unless it is white space alone
-    joined = parts.repartition(partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row", "seg").mapInArrow(_join_segments(path, shape), schema)
-    blank = long.where(~F.col("text").rlike(r"[^\s\u0085   -     　]")).select("doc_id", F.lit("").alias("text")).mapInArrow(_short(path, shape), schema)
+    joined = parts.repartition(partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row", "seg").mapInArrow(tidy(_join_segments(path, shape)), schema)
+    blank = long.where(~F.col("text").rlike(r"[^\s\u0085   -     　]")).select("doc_id", F.lit("").alias("text")).mapInArrow(tidy(_short(path, shape)), schema)
     return short.unionByName(joined).unionByName(blank)
 
 
@@ -383,5 +398,9 @@ def op6_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: doc_id, n_tokens, ids and the decoded text of every document kept."""
+    """The last stage: doc_id, n_tokens, ids and the decoded text, a row for each row that is left.
+
+    Null and empty texts have no ids; repeated rows and rows without a doc_id each keep their row.  An empty table
+    gives an empty table; columns other than doc_id and text are not read.
+    """
     return encode(docs, default_path(), "lists")

@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, written
+from .common import mix64, partitions, tidy, written
 
 GRAM = 32
 #: Entries that a map task holds before it deals them out.
 BUFFER = 400_000
-#: Bytes of text hashed at a time; a longer text is cut into overlapping slabs.
-SLAB = 1 << 20
+#: Bytes of text hashed at a time (hashing takes about 80 times as much memory); a longer text is cut into overlapping slabs.
+SLAB = 1 << 18
 #: An anchor is hot from this share of all entries on, so there are at most this many.
 HOT_SHARE = 20_000
 HOT_LEAST = 20_000
@@ -216,7 +216,7 @@ def _hot_anchors(keyed: DataFrame, width: int) -> np.ndarray:
             yield out()
 
     # rows under 16 in a task's buffer are left out of the counts: at hot sizes that is a small part
-    seen = written(keyed.select("body").mapInArrow(run, "hash long, n long, rows long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where(f"n >= {HOT_LEAST // 2} OR rows > 0"))
+    seen = written(keyed.select("body").mapInArrow(tidy(run), "hash long, n long, rows long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where(f"n >= {HOT_LEAST // 2} OR rows > 0"))
     total = seen.agg(F.sum("rows")).first()[0] or 0
     # a HOT_SHARE-th of all entries each: no more than HOT_SHARE hashes can be that frequent
     hot = seen.where(F.col("n") >= max(HOT_LEAST // 2, total // HOT_SHARE)).select("hash").toArrow()
@@ -405,29 +405,30 @@ def _suffix_shards(width: int):
 
 def _cutter(width: int):
     def run(batches):
-        for b in batches:
-            dk, body, spots = (b.column(i).to_pylist() for i in range(3))
-            carry = b.column(3)
-            size, spans, kept = [], [], []
-            for x, ss in zip(body, spots):
-                merged: list[list[int]] = []
-                for s, e in sorted((s["at"], s["at"] + s["n"] - 1 + width) for s in ss or ()):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                at, left = 0, []
-                for s, e in merged:
-                    left.append(x[at:s])
-                    at = e
-                left.append(x[at:])
-                size.append(len(x))
-                spans.append([{"start": s, "stop": e} for s, e in merged])
-                kept.append(b"".join(left))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None if d == _NULL_ID else d for d in dk], pa.int64()), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept]), carry],
-                names=["doc_id", "n_bytes", "spans", "kept", "kept_text", "carry"],
-            )
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                dk, body, spots = (b.column(i).to_pylist() for i in range(3))
+                size, spans, kept = [], [], []
+                for x, ss in zip(body, spots):
+                    merged: list[list[int]] = []
+                    for s, e in sorted((s["at"], s["at"] + s["n"] - 1 + width) for s in ss or ()):
+                        if merged and s <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], e)
+                        else:
+                            merged.append([s, e])
+                    at, left = 0, []
+                    for s, e in merged:
+                        left.append(x[at:s])
+                        at = e
+                    left.append(x[at:])
+                    size.append(len(x))
+                    spans.append([{"start": s, "stop": e} for s, e in merged])
+                    kept.append(b"".join(left))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None if d == _NULL_ID else d for d in dk], pa.int64()), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept]), b.column(3)],
+                    names=["doc_id", "n_bytes", "spans", "kept", "kept_text", "carry"],
+                )
 
     return run
 
@@ -448,8 +449,9 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     parts = partitions(spark)
     buckets = 8 * parts
     hot = spark.sparkContext.broadcast(_hot_anchors(keyed, width))
-    dealt = keyed.select("dk", "tk", "body").mapInArrow(_dealer(width, buckets, hot), _DEALT)
-    flags = written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FLAG))
+    dealt = keyed.select("dk", "tk", "body").mapInArrow(tidy(_dealer(width, buckets, hot)), _DEALT)
+    flags = written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_meet), _FLAG))
+    hot.destroy()
     undecided = flags.where(f"kind = {OPEN}")
     crowds = undecided.groupBy("hash").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("hash", F.lit(True).alias("crowded"))
     crowds = written(crowds)
@@ -457,11 +459,11 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     spot = F.struct("at", "n", "hash", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     undecided = undecided.join(crowds, "hash", "left").groupBy("dk", "tk").agg(F.collect_list(spot).alias("spots"))
     once = keyed.join(undecided, ["dk", "tk"]).select("dk", "tk", "body", "spots", "carry")
-    contexts = once.mapInArrow(_contexts(width), _PART)
-    found = contexts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_suffix_shards(width), _FLAG)
+    contexts = once.mapInArrow(tidy(_contexts(width)), _PART)
+    found = contexts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(tidy(_suffix_shards(width)), _FLAG)
     later = flags.where(f"kind = {LATER}").unionByName(found).groupBy("dk", "tk").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
     kind = keyed.schema["carry"].dataType.simpleString()
-    return keyed.join(later, ["dk", "tk"], "left").select("dk", "body", "spots", "carry").mapInArrow(_cutter(width), f"doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, kept_text string, carry {kind}")
+    return keyed.join(later, ["dk", "tk"], "left").select("dk", "body", "spots", "carry").mapInArrow(tidy(_cutter(width)), f"doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, kept_text string, carry {kind}")
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -471,6 +473,11 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies are cut out of the texts; every document stays, if need be with an empty text."""
+    """Passages of 100 bytes or more that stand earlier are cut out of the texts; every row stays, if need be with an empty text.
+
+    A null text is empty; a null doc_id comes before all others.  Rows that repeat doc_id and text are one document
+    and all keep what it keeps.  Characters that a cut leaves in part go.  n_chars is that of the text that is left.  An
+    empty table gives an empty table; columns other than those of ``documents`` are not read.
+    """
     out = suffix_dedup(docs, carry=("lang", "source"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "carry.lang", "carry.source", F.char_length("kept_text").cast("long").alias("n_chars"))
