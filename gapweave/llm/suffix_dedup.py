@@ -45,8 +45,8 @@ GROUP = 1024
 CROWDS = 1 << 17
 #: Windows of larger groups that a map task holds before it deals them out.
 SPARE = 25_000
-#: Bytes of context that a task puts in suffix order at a time, beyond one group.
-CHUNK = 1 << 20
+#: Bytes of context that a task puts in suffix order at a time, beyond one group; each takes some 400 bytes meanwhile.
+CHUNK = 1 << 18
 
 _IDX = 24
 _MASK = np.uint64((1 << _IDX) - 1)
