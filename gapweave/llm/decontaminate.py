@@ -13,14 +13,18 @@ known by construction) and met with all texts.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, tidy, written
 from .words import shingles, slabs, word_hashes
 
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text in one block; its index takes about four times as much in each Python worker.
+BLOCK_BYTES = 16 << 20
 _BITS = 22
 
 
@@ -104,7 +108,7 @@ class Index:
         ok = at + seed <= np.diff(off)[owner]
         s, owner, at = s[ok], owner[ok], at[ok]
         o = np.argsort(s, kind="stable")
-        self.hash, self.owner, self.at = s[o], owner[o], at[o]
+        self.hash, self.owner, self.at = s[o], owner[o].astype(np.int32), at[o].astype(np.int32)
         self.flag = np.zeros(1 << _BITS, bool)
         self.flag[self.hash >> np.uint64(64 - _BITS)] = True
         # items shorter than a seed: by their number of words, the hash of the whole item
@@ -213,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, seed
                     rows.append({"doc_id": ids[t], "item_id": ready.ids[i], "n_tiles": len(tiles), "n_matched": m, "n_words": n, "coverage": m / n, "tiles": [{"text_word": a, "item_word": c, "words": d} for a, c, d in tiles]})
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-        part = base.mapInArrow(run, _SCHEMA)
+        part = base.mapInArrow(tidy(run), _SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], _SCHEMA) if out is None else out
 
@@ -226,27 +230,47 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, seed: int = 5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, seed: int = 5, limit: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that no benchmark item contaminates.
 
-    Each row is judged by its own text where it lies: nothing is exchanged, and rows that share a doc_id
-    (or have none) do not decide for each other.  Null and empty texts stay.
+    Each row is judged by its own text, and rows that share a doc_id (or have none) do not decide for each other.
+    Null and empty texts stay.  A benchmark of one block of ``limit`` bytes is met with the rows where they lie: nothing
+    is exchanged.  With more blocks the rows are written once, each block names the rows that it contaminates, and
+    these are left out; so a task never holds more than one block.
     """
-    col, out = docs.columns.index("text"), docs
-    for items in blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(items)
+    spark, col = docs.sparkSession, docs.columns.index("text")
 
-        def run(batches, index=index):
+    def judge(items, mark):
+        index = spark.sparkContext.broadcast(items)
+
+        def run(batches):
             ready = Index(index.value, seed)
             for b in batches:
                 stays = np.ones(b.num_rows, bool)
-                stays[[m[0] for m in ready.matches(b.column(col).to_pylist(), share)]] = False
-                yield b.filter(pa.array(stays))
+                stays[[m[0] for m in ready.matches(b.column(0 if mark else col).to_pylist(), share)]] = False
+                yield pa.RecordBatch.from_arrays([b.column(1)], names=["_row"]).filter(pa.array(~stays)) if mark else b.filter(pa.array(stays))
+
+        return tidy(run)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    all_blocks = blocks(benchmark, limit or BLOCK_BYTES)
+    first, second = next(all_blocks, None), next(all_blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.mapInArrow(judge(first, False), docs.schema)
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.monotonically_increasing_id().alias("_row")))
+    texts = rows.select(F.col("_all.text").alias("text"), "_row")
+    found = written(texts.mapInArrow(judge(first, True), "_row long"))
+    for items in chain([second], all_blocks):
+        found = written(found.unionByName(texts.mapInArrow(judge(items, True), "_row long")).distinct())
+    return rows.join(small(found), "_row", "left_anti").select("_all.*")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a benchmark item contaminates go."""
+    """Documents that a benchmark item contaminates go; the others keep their rows as they are.
+
+    Each row is judged by its own text: null and empty texts stay, repeated rows share a fate, and rows that share a
+    doc_id, or have none, do not decide for each other.  Empty tables give an empty table, or all rows; columns other
+    than those of ``documents`` are not read.
+    """
     return clean(docs.select("doc_id", "text", "lang", "source", "n_chars"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
