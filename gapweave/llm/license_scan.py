@@ -1,11 +1,12 @@
 """Licence scan: MinHash bands over overlapping text windows, then exact shingle containment.
 
 Templates are grouped by size.  For templates of up to c shingles a text is read in windows of 2c
-shingles that start every c shingles, so every run of c shingles lies whole in some window.  A
+shingles that start every c shingles of the text, so every run of c shingles lies whole in some window.  A
 window that holds ``share`` of a template's n shingles has a Jaccard similarity with it of at least
 ``share * n / (2c + (1 - share) * n)``; the number of bands of ROWS hashes is chosen from that bound
-so that such a window meets the template in at least one band with probability TARGET.  Windows met
-are verified exactly: distinct template shingles found, over all distinct template shingles.
+so that such a window meets the template in at least one band with probability TARGET.  A text of which a
+window is met is verified exactly, in all its windows: distinct template shingles found, over all distinct
+template shingles.  So a result depends on the text alone, wherever the text lies.
 
 No rows are exchanged: the templates go to all tasks (their total size is checked) and each text is
 read where it lies.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import shingles, slabs, word_hashes
 
 ROWS = 1
@@ -90,38 +92,50 @@ class Templates:
             s = shingles(h, k)
             if not len(s):
                 continue
-            text = np.repeat(np.arange(b - a), np.diff(off))[: len(s)]
-            whole = np.arange(len(s)) + k <= off[text + 1]
+            count = np.maximum(np.diff(off) - k + 1, 0)  # shingles of each text
+            text = np.repeat(np.arange(b - a), count)
+            begin = np.cumsum(count) - count
+            own = np.arange(count.sum()) - begin[text]
+            s = s[off[:-1][text] + own]
             for c, members, mult, sign in self.classes:
+                # texts begin at multiples of c
+                cells = -(-count // c)
+                start = (np.cumsum(cells) - cells) * c
+                place = start[text] + own
+                wide = np.zeros(int(cells.sum()) * c, np.uint64)
+                wide[place] = s
+                blank = np.ones(len(wide), bool)
+                blank[place] = False
+                blank = np.flatnonzero(blank)
                 met = [np.zeros(0, np.int64) for _ in members]
-                fill = -len(s) % c
                 for band, m in enumerate(mult):
                     equal = [True] * len(members)
                     for row, x in enumerate(m):
-                        v = s * x
-                        v[~whole] = np.uint64(2**64 - 1)
+                        v = wide * x
+                        v[blank] = np.uint64(2**64 - 1)
                         if c > 1:
-                            v = np.append(v, np.full(fill, 2**64 - 1, np.uint64)).reshape(-1, c).min(axis=1)
+                            v = v.reshape(-1, c).min(axis=1)
                         low = np.minimum(v, np.append(v[1:], np.uint64(2**64 - 1)))
                         for j in range(len(members)):
                             equal[j] = equal[j] & (low == sign[j][band, row])
                     for j in range(len(members)):
                         met[j] = np.append(met[j], np.flatnonzero(equal[j]))
                 for j, t in enumerate(members):
-                    best: dict[int, list] = {}
                     need = self.sets[t]
-                    for w in np.unique(met[j]).tolist():
-                        lo, hi = w * c, min((w + 2) * c, len(s))
-                        for d in np.unique(text[lo:hi]).tolist():
-                            at = np.flatnonzero((text[lo:hi] == d) & whole[lo:hi]) + lo
-                            share = len(np.intersect1d(s[at], need)) / len(need)
-                            if share >= self.share:
-                                old = best.setdefault(d, [0.0, 0, 0])
-                                old[2] += 1
-                                if share > old[0]:
-                                    old[:2] = share, int(at[np.isin(s[at], need)][0] - off[d])
-                    for d, (share, first, n) in sorted(best.items()):
-                        yield a + d, t, share, first, n
+                    for d in np.unique(np.searchsorted(start, met[j] * c, "right") - 1).tolist() if len(met[j]) else ():
+                        while not count[d]:  # texts without shingles share their place with the next one
+                            d += 1
+                        mine = s[begin[d] : begin[d] + count[d]]
+                        at = np.flatnonzero(np.isin(mine, need))
+                        best, first, n = 0.0, 0, 0
+                        for w in np.unique(np.concatenate((at // c, np.maximum(at // c - 1, 0)))).tolist():
+                            here = at[np.searchsorted(at, w * c) : np.searchsorted(at, (w + 2) * c)]
+                            share = len(np.unique(mine[here])) / len(need)
+                            n += share >= self.share
+                            if share > best:
+                                best, first = share, int(here[0])
+                        if best >= self.share:
+                            yield a + d, t, best, first, n
 
 
 _SCHEMA = "doc_id long, license string, containment double, first_word long, n_windows long"
@@ -130,8 +144,8 @@ _SCHEMA = "doc_id long, license string, containment double, first_word long, n_w
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8, words: int = 5) -> DataFrame:
     """One row per document and template of which some window holds ``share`` of the shingles.
 
-    containment: the largest over windows; first_word: where its first matching shingle starts;
-    n_windows: overlapping windows that reach the share.  Null and empty texts, and templates with
+    containment: the largest over windows; first_word: where the first matching shingle of the earliest such window
+    starts; n_windows: overlapping windows that reach the share.  Null and empty texts, and templates with
     fewer words than a shingle, match nothing.  Repeated rows give repeated rows; a null doc_id stays
     null; an empty table gives an empty table.  Other columns are not read.
     """
@@ -151,7 +165,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
                 names=["doc_id", "license", "containment", "first_word", "n_windows"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), _SCHEMA)
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
