@@ -61,7 +61,9 @@ def format_trees(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
     rows without a msg_id are left out.  Branches of a conversation rank by score, ties by leaf_id.
 
     loss_mask: for each turn {turn_start, start, stop} in code points of ``formatted``; the text of a turn
-    of ``loss_role`` lies under the mask, other turns have start = stop.  Empty input gives an empty table.
+    of ``loss_role`` lies under the mask, other turns have start = stop.  Empty input gives an empty table; other
+    columns are not read.  A path is one row of the result, so its turns meet in one task; paths share turns, so a
+    tree like a comb, with a leaf at each of n turns, has n^2 / 2 turns in its paths, and as many are written.
     """
     one = Window.partitionBy("conv", "node").orderBy("parent", "role", "text", "score")
     rows = messages.where("msg_id IS NOT NULL").select(

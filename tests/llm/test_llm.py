@@ -3,7 +3,9 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -197,7 +199,9 @@ def test_simhash_odd_rows(spark):
     assert simhash_dedup.simhash_groups(_docs(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (None, 3), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.connected_components(e).collect()}
     assert got == {i: 0 for i in range(31)} | {40: 40, 50: 40, 60: 40}
@@ -255,7 +259,57 @@ def test_html_layout_classes():
         "<div id=search-page><article><p>a</p></article></div>", "<article class='promo'><p>a</p></article>", "<div id=sidebar><p>b</p></div><p>a</p>", "<article><p>a</p><div class='post no-js comments'>b</div></article>",
         "<article><p>a</p></article><div id=comments><article class=comment><p>b</p></article></div>",
     ):
-        assert [t for t, _ in html_extract.read(page)[0]] == ["a"], page
+        assert [t for t, keep in html_extract.read(page)[0] if keep] == ["a"], page
+
+
+def test_html_templates_alone(spark, sf):
+    """Without any markup rule, counting alone finds the menus and footers of pages like the table's."""
+    page = "<!DOCTYPE html><html><head><title>no</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Home {h}</a></li><li>News</li></ul></nav><!-- ad --><div class='ad'>buy {i}</div><article><h1>T{i}</h1><p><b>Body {i}.<br><p>More {i}.</p></article><footer>&copy; {h} &middot; imprint</footer></body></html>"
+    rows = [(i, f"https://{h}.example/{i}", page.format(h=h, i=i)) for i, h in enumerate(["a"] * 6 + ["b"] * 3 + ["few"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = {r.page_id: r for r in html_extract.extract(df, markup=False).collect()}
+    for i in range(9):
+        assert alone[i].text == f"buy {i}\nT{i}\nBody {i}.\nMore {i}." and (alone[i].n_template, alone[i].n_markup) == (3, 0)
+    assert alone[9].n_template == 0 and "News" in alone[9].text
+    both = {r.page_id: r for r in html_extract.extract(df).collect()}
+    assert all(both[i].text == f"T{i}\nBody {i}.\nMore {i}." for i in range(10))
+    assert all((both[i].n_template, both[i].n_markup) == ((3, 1) if i < 9 else (0, 4)) for i in range(10))
+    # the driver's pages, by a count made here: menus and footers that enough pages of a host share go by counting alone
+    sf = sf.replace("sf0.001", "sf0.1")
+    raw = duckdb.sql(f"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), html FROM '{sf}/pages.parquet'").fetchall()
+    part = {(p, k): re.search(f"<{k}>(.*?)</{k}>", h, re.S)[1] for p, _, h in raw for k in ("nav", "footer")}
+    hosts = {p: h for p, h, _ in raw}
+    on, size = Counter((hosts[p], k, x) for (p, k), x in part.items()), Counter(hosts.values())
+    got = {r.page_id: r for r in html_extract.op7_html_extract(spark, sf).collect()}
+    found = 0
+    for p, h, _ in raw:
+        want = sum(len(re.findall("<li>", part[p, k])) if k == "nav" else 1 for k in ("nav", "footer") if on[h, k, part[p, k]] >= max(4, 0.02 * size[h]))
+        found += want > 0
+        assert got[p].n_template >= want
+    assert found > 200
+
+
+def test_html_long_pages():
+    """Pages of 1 MB that invite quadratic work are read in seconds, and whole."""
+    n = 100_000
+    for page, want in (
+        ("<div>" * n + "x", 1), ("<div>a" * n, n), ("<a href=\"u>t</a>" * n, None), ("<a href='u>t</a> \"" * n, None), ("<b title=\">\" " * n, None), ("<div>" * n + "</section>" * n + "x", 1), ("<center>" * n + "<li>x" * 100, 100),
+        ("<article>" * n + "x", 1), ("</script" * n, None), ("<script></script" * n, 0), ("<!-- " * n, 0), ("<" * n, 1), ("&amp;" * n, 1), ("w " * 500_000, 1), ("<p>w" * n, n),
+    ):
+        began = time.process_time()
+        blocks, spans = html_extract.read(page)
+        assert time.process_time() - began < 20, page[:40]
+        assert want is None or len(blocks) == want, (page[:40], len(blocks))
+
+
+def test_html_tokens():
+    read = lambda page: [(t, k) for t, k in html_extract.read(page)[0]]
+    assert read("a < b <1> c") == [("a < b <1> c", True)]
+    assert read("<p title='x > y'>a</p><p title=\"it's\">b") == [("a", True), ("b", True)]
+    assert read("<p>a<p title=\"open>b</p><p>c") == [("a", True), ("b", True), ("c", True)]
+    assert read("x <![CDATA[1 < 2 & 3]]> y<!DOCTYPE z><?php echo ?>") == [("x 1 < 2 & 3 y", True)]
+    assert read("a<script>if (a</script  x>b<textarea>no</textarea>c") == [("a b c", True)]
+    assert read("end <p") == [("end <p", True)]
 
 
 # -- 8 ----------------------------------------------------------------------------------------------
@@ -378,6 +432,27 @@ def _near_texts():
     return out + ["", "  ", "one two", "One  two", "three"]
 
 
+@pytest.mark.parametrize("pairs, few, depth", [(8, 256, 3), (0, 0, 2)])
+def test_near_dedup_of_crowds(spark, pairs, few, depth, monkeypatch):
+    """Copies of one text by replaced words, cut ends and left-out words, and texts that share a long passage: cells are refined."""
+    monkeypatch.setattr(simhash_dedup, "PAIRS", pairs)
+    monkeypatch.setattr(simhash_dedup, "FEW", few)
+    monkeypatch.setattr(simhash_dedup, "DEPTH", depth)
+    rng = random.Random(3)
+    word = lambda k: f"w{rng.randint(0, k)}"
+    base, line = [word(10**6) for _ in range(120)], [word(10**6) for _ in range(60)]
+    texts = [" ".join(base)]
+    for i in range(70):
+        share = rng.choice([0.005, 0.02, 0.03, 0.04])
+        texts.append(" ".join(word(10**6) if rng.random() < share else w for w in base))
+        texts.append(" ".join(base[: rng.randint(40, 119)]))
+        texts.append(" ".join(w for w in base if rng.random() > 0.02))
+        texts.append(" ".join(line + [word(10**6) for _ in range(rng.randint(4, 40))]))
+        texts.append(" ".join(line[:30] + [word(10**6) for _ in range(rng.randint(1, 6))] + line[30:]))
+    kept = sorted(r.doc_id for r in simhash_dedup.stage(spark, _docs(spark, list(enumerate(texts))), "").collect())
+    assert kept == sorted(set(_groups(texts)))
+
+
 def test_near_dedup_stage_against_brute_force(spark):
     texts = _near_texts()
     sets = [_shingles(t) for t in texts]
