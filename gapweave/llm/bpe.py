@@ -33,8 +33,9 @@ LEAF = 256
 LONG_TEXT = 1 << 20
 #: Symbols of one dealt segment.
 SEGMENT = 1 << 16
-#: Characters of words, ids and tokens remembered while a task runs, with ENTRY for what a word takes beside them.
-REMEMBER = 24 << 20
+#: Bytes of words, ids and tokens remembered while a task runs, with ENTRY for what a word takes beside them.  Frequent
+#: words come early, so a full memory stays as it is.
+REMEMBER = 48 << 20
 ENTRY = 360
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -60,9 +61,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> tuple[str, str]:
         out = self.encode(word)
-        if len(word) < 64:
-            if self.size >= REMEMBER:
-                self.clear()
+        if len(word) < 64 and self.size < REMEMBER:
             self.size += len(word) + len(out[0]) + len(out[1]) + ENTRY
             self[word] = out
         return out
